@@ -1,0 +1 @@
+"""Composed pipelines."""
