@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical_names, consistent, encoding, hidden_copies, mojibake, packing
+from tessera.llm import canonical_names, consistent, encoding, hidden_copies, mojibake, packing, scan_noise
 from tessera.session import table
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.scanned_records(table(spark, folder, "thresholds_extra"), table(spark, folder, "medical_documents"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.scan_damage(_scanned(spark, folder))
+
+
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record's text as continuous paragraphs, with the damage that was undone."""
+    return scan_noise.repaired(_scanned(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return hidden_copies.copy_pairs(hidden_copies.threshold_hashes(table(spark, folder, "thresholds_extra")))
 
@@ -65,6 +78,6 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_counts, p5_found, p5_unmatched, p6_found, p6_consistent, p8_ids, p9_containers, p10_found, p10_restored)
+    f.__name__: f for f in (p2_found, p2_paragraphs, p4_found, p4_counts, p5_found, p5_unmatched, p6_found, p6_consistent, p8_ids, p9_containers, p10_found, p10_restored)
 }
 SQL: dict[str, str] = {}
