@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings in which UTF-8 is read by mistake. ``cp1252`` also stands for Latin-1: its gaps are the C1 controls.
@@ -174,6 +174,20 @@ def repair(text: str) -> tuple[str, bool]:
     return text, garbled or bool(_BROKEN.search(text))
 
 
+def is_garbled(text: str) -> bool:
+    """The second result of :func:`repair`; stops at the first evidence."""
+    if LOST in text:
+        return True
+    for encoding in LEGACY:
+        for m in span_pattern(encoding).finditer(text):
+            if decode_span(m[0], encoding, text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) is not None:
+                return True
+    if sum(map(len, one_byte_words(text))) >= 8:
+        return True
+    tones = len(_TONE_LETTER.findall(text))
+    return tones >= 2 or bool(tones and _ETH.search(text)) or bool(_BROKEN.search(text))
+
+
 def _undo_tone_letters(text: str) -> str:
     """Words with tone letters, and those around them, read in the Vietnamese Windows encoding."""
 
@@ -203,38 +217,46 @@ def _undo_one_byte(text: str) -> str:
 
 
 @lru_cache(maxsize=None)
-def suspect_pattern() -> str:
-    """A regular expression for the JVM: any unit of any encoding, lost characters and one-byte words. A text without a match is clean."""
-
-    def cls(chars: str) -> str:
-        return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(re.sub(r"\\(.)", r"\1", chars, flags=re.S)))) + "]"
+def _suspects() -> tuple[re.Pattern, ...]:
+    """Patterns of which every garbled text has one: a unit of any encoding, one-byte words, broken units, tone letters.
 
+    Each begins with a character class, so that the search skips over all other characters at once.
+    """
     leads, units = "", []
     for encoding in LEGACY:
         k = _classes(encoding)
-        cont = cls(k["c"])
-        units += [f"{cls(k['two'])}{cont}", f"{cls(k['three'] + k['four'])}{cont}{{2}}"]
+        units += [f"(?<=[{k['two']}])[{k['c']}]", f"(?<=[{k['three']}])[{k['c']}]{{2}}", f"(?<=[{k['four']}])[{k['c']}]{{3}}"]
         leads += k["two"] + k["three"] + k["four"]
-    return f"\\x{{FFFD}}|(?={cls(leads)})(?:{'|'.join(units)})|[\\x{{C0}}-\\x{{FF}}\\x{{B8}}\\x{{A8}}]{{4}}|[a-zđ][\\x{{C2}}\\x{{C3}}] |\\x{{E1}}[\\x{{BA}}\\x{{BB}}]|[aâeêioôuyãõýAÂEÊIOÔUYÃÕÝ][ÌÒÞ]|[aâêôyãõý][ìò]"
+    return (
+        re.compile(f"[{leads}](?:{'|'.join(units)})"),
+        re.compile("[\xc0-\xff\xb8\xa8]{4}"),
+        re.compile("[ÃÂá](?:(?<=[a-zđ][ÃÂ]) |(?<=á)[º»])"),
+        re.compile("[ÌÒÞìò](?<=[aâeêioôuyãõýAÂEÊIOÔUYÃÕÝ].)"),
+    )
 
 
-def suspect(text: Column) -> Column:
-    return text.rlike(suspect_pattern())
+def suspect(text: str) -> bool:
+    """False for surely clean texts."""
+    return not text.isascii() and (LOST in text or any(p.search(text) for p in _suspects()))
 
 
-def garbled_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, restored, restorable): the documents with garbled text, whole texts, with what could be restored.
+def garbled_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", restore: bool = True) -> DataFrame:
+    """(id, restored, restorable), without ``restore`` only (id): the documents with garbled text, whole texts, with what could be restored.
 
     Null, empty and blank texts are clean. ``restorable`` is false where lost characters remain. The scan's stage drops
-    the surely clean texts; the rest is repaired in Arrow batches, without any shuffle.
+    texts of ASCII only; the rest is repaired in Arrow batches, without any shuffle.
     """
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[[suspect(t) and (restore or is_garbled(t)) for t in batch["text"]]]
+            if not restore:
+                yield batch[["id"]]
+                continue
             done = [repair(t) for t in batch["text"]]
             out = pd.DataFrame({"id": batch["id"], "restored": [t for t, _ in done], "restorable": [LOST not in t for t, _ in done]})
             yield out[[g for _, g in done]]
 
     kind = dict(df.dtypes)[id_column]
-    candidates = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")).where(suspect(F.col("text")))
-    return candidates.mapInPandas(fix, f"id {kind}, restored string, restorable boolean")
+    candidates = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")).where(F.octet_length("text") > F.length("text"))
+    return candidates.mapInPandas(fix, f"id {kind}, restored string, restorable boolean" if restore else f"id {kind}")
