@@ -15,6 +15,9 @@ def _scanned(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.scanned_records(table(spark, folder, "thresholds_extra"), table(spark, folder, "medical_documents"))
 
 
+resolve_names = canonical_names.resolve_names
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.scan_damage(_scanned(spark, folder))
 
@@ -69,7 +72,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return mojibake.garbled_documents(table(spark, folder, "documents")).select(F.col("id").alias("doc_id"))
+    return mojibake.garbled_documents(table(spark, folder, "documents"), restore=False).select(F.col("id").alias("doc_id"))
 
 
 def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
