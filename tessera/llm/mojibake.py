@@ -84,8 +84,8 @@ def likely(char: str) -> bool:
     return 0x1F000 <= code <= 0x1FAFF
 
 
-def _is_box(char: str) -> bool:
-    return 0x2500 <= ord(char) <= 0x259F
+def _is_line(char: str) -> bool:
+    return 0x2500 <= ord(char) <= 0x257F
 
 
 def _alphabet(char: str) -> str:
@@ -99,7 +99,8 @@ def decode_span(span: str, encoding: str, before: str, after: str) -> str | None
     """The text behind a maximal span, or None where the span is more likely meant as it is.
 
     Refused: what is no valid UTF-8; unlikely characters; letters that would stand beside letters of another alphabet;
-    Cyrillic letters taken for bytes beside Cyrillic letters that aren't; runs of box drawing only.
+    Cyrillic letters taken for bytes beside Cyrillic letters that aren't; line drawing that touches no letter; one or
+    two letters of another alphabet from letters.
     """
     table = byte_table(encoding)
     try:
@@ -108,7 +109,9 @@ def decode_span(span: str, encoding: str, before: str, after: str) -> str | None
         return None
     if not all(map(likely, text)):
         return None
-    if all(map(_is_box, span)) and (len(text) < 3 or not any(c.isalpha() for c in text)):
+    if all(map(_is_line, span)) and not ((before.isalpha() or after.isalpha()) and any(c.isalpha() for c in text)):
+        return None
+    if encoding != "cp1251" and span.isalpha() and len(text) < 3 and any(_alphabet(c) in ("C", "G") for c in text):
         return None
     if encoding == "cp1251" and (_alphabet(before) == "C" or _alphabet(after) == "C" or (text == "Ÿ" and span.isalpha())):
         return None
