@@ -41,10 +41,10 @@ def read_cases(spark: SparkSession, path: str, schema: str | StructType, categor
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, corrupt texts) of XML files."""
+    """(good rows, corrupt records) of XML files; a corrupt record has its text and what could be read of it."""
     full = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     rows = spark.read.format("xml").option("rowTag", row_tag).option("columnNameOfCorruptRecord", CORRUPT).schema(StructType(full.fields).add(CORRUPT, "string")).load(path)
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("text"))
+    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("text"), F.struct(*full.names).alias("partial"))
 
 
 def write_jsonl(df: DataFrame, path: str, single_file: bool = False) -> None:
