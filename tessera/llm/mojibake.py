@@ -8,6 +8,7 @@ level by level.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -111,6 +112,8 @@ def decode_span(span: str, encoding: str, before: str, after: str) -> str | None
         return None
     if all(map(_is_line, span)) and not ((before.isalpha() or after.isalpha()) and any(c.isalpha() for c in text)):
         return None
+    if span.isalpha() and any(ord(c) > 0x2FFF for c in text):
+        return None
     if encoding != "cp1251" and span.isalpha() and len(text) < 3 and any(_alphabet(c) in ("C", "G") for c in text):
         return None
     if encoding == "cp1251" and (_alphabet(before) == "C" or _alphabet(after) == "C" or (text == "Ÿ" and span.isalpha())):
@@ -132,8 +135,53 @@ _TONE_LETTER = re.compile("(?<=[aâeêioôuyãõýAÂEÊIOÔUYÃÕÝ])[ÌÒÞ]|(
 _ETH = re.compile("(?<![^\\W\\d_])[ðÐ](?=[aâeêioôuyãõýìòéèúùíàáóAÂEÊIOÔUY])")
 
 
+#: One such place is enough: a tone letter of the other case, or after a vowel that never stands before it.
+_SURE_TONE = re.compile("(?<=[aâeêioôuyãõý])[ÌÒÞ]|(?<=[AÂEÊIOÔUYÃÕÝ])[ìò]|(?<=[âêôõý])[ìò]|(?<=[ÂÊÔ])[ÌÒÞ](?=[^\\W\\d_])")
+_CYRILLIC = re.compile("[А-яЁё]{3}")
+_SHORT_ONE_BYTE = re.compile("(?<![^\\W\\d_])[\xc0-\xff\xb8\xa8]{3,}(?![^\\W\\d_])")
+#: Share of each letter in Russian text, in percent.
+RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10.98, 8.48, 7.99, 7.36, 6.7, 6.31, 5.47, 4.75, 4.53, 4.34, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.9, 1.74, 1.7, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.33, 0.26, 0.04, 0.2)))
+_LOG = {letter: math.log(share / 100) for letter, share in RUSSIAN.items()}
+#: By how much the mean log share must rise for another reading of Cyrillic letters.
+CYRILLIC_GAIN = 0.1
+_CYRILLIC_WORD = re.compile("[А-яЁёЈј]+")
+
+
 def one_byte_words(text: str) -> list[str]:
-    return [w for w in _ONE_BYTE.findall(text) if not set(w.lower()) <= _VOWEL_ACCENTS]
+    words = [w for w in _ONE_BYTE.findall(text) if not set(w.lower()) <= _VOWEL_ACCENTS]
+    if sum(map(len, words)) >= 8:
+        return words
+    return [w for w in _SHORT_ONE_BYTE.findall(text) if not set(w.lower()) <= _VOWEL_ACCENTS] if _CYRILLIC.search(text) else []
+
+
+def _mean_log(text: str) -> float:
+    letters = [_LOG.get(c, -9.0) for c in text.lower() if c.isalpha()]
+    return sum(letters) / len(letters) if letters else -9.0
+
+
+def other_cyrillic(text: str) -> list[tuple[str, str]]:
+    """(word, reading) of Cyrillic words that are more likely another Cyrillic encoding's bytes.
+
+    In it the cases are swapped; only texts with such words are looked at, and the words' letters must become much
+    more like Russian in total.
+    """
+    if not _SWAPPED.search(text):
+        return []
+    words, found = set(_CYRILLIC_WORD.findall(text)), []
+    for word in words:
+        if word[1:].islower() or (len(word) == 1 and word.islower()):
+            continue
+        try:
+            reading = word.encode("cp1251").decode("koi8_r")
+        except UnicodeError:
+            continue
+        if reading[1:].islower() or len(reading) == 1:
+            found.append((word, reading))
+    before, after = _mean_log("".join(w for w, _ in found)), _mean_log("".join(r for _, r in found))
+    return found if found and sum(len(w) for w, _ in found) >= 6 and after - before > CYRILLIC_GAIN else []
+
+
+_SWAPPED = re.compile("[а-яё][А-ЯЁ]|[А-ЯЁ]{3}")
 
 
 def repair_level(text: str) -> tuple[str, int]:
@@ -166,12 +214,15 @@ def repair(text: str) -> tuple[str, bool]:
         if not count:
             break
         garbled = True
-    words = one_byte_words(text)
-    if words and sum(map(len, words)) >= 8:
+    if one_byte_words(text):
         garbled = True
         text = _undo_one_byte(text)
+    other = dict(other_cyrillic(text))
+    if other:
+        garbled = True
+        text = _CYRILLIC_WORD.sub(lambda m: other.get(m[0], m[0]), text)
     tones = len(_TONE_LETTER.findall(text))
-    if tones >= 2 or (tones and _ETH.search(text)):
+    if tones >= 2 or _SURE_TONE.search(text) or (tones and _ETH.search(text)):
         garbled = True
         text = _undo_tone_letters(text)
     return text, garbled or bool(_BROKEN.search(text))
@@ -185,10 +236,10 @@ def is_garbled(text: str) -> bool:
         for m in span_pattern(encoding).finditer(text):
             if decode_span(m[0], encoding, text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]) is not None:
                 return True
-    if sum(map(len, one_byte_words(text))) >= 8:
+    if one_byte_words(text) or other_cyrillic(text):
         return True
     tones = len(_TONE_LETTER.findall(text))
-    return tones >= 2 or bool(tones and _ETH.search(text)) or bool(_BROKEN.search(text))
+    return tones >= 2 or bool(_SURE_TONE.search(text)) or bool(tones and _ETH.search(text)) or bool(_BROKEN.search(text))
 
 
 def _undo_tone_letters(text: str) -> str:
@@ -232,7 +283,8 @@ def _suspects() -> tuple[re.Pattern, ...]:
         leads += k["two"] + k["three"] + k["four"]
     return (
         re.compile(f"[{leads}](?:{'|'.join(units)})"),
-        re.compile("[\xc0-\xff\xb8\xa8]{4}"),
+        re.compile("[\xc0-\xff\xb8\xa8]{3}"),
+        _SWAPPED,
         re.compile("[ÃÂá](?:(?<=[a-zđ][ÃÂ]) |(?<=á)[º»])"),
         re.compile("[ÌÒÞìò](?<=[aâeêioôuyãõýAÂEÊIOÔUYÃÕÝ].)"),
     )

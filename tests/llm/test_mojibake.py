@@ -7,7 +7,7 @@ from tessera.llm.mojibake import byte_table, garbled_documents, is_garbled, repa
 
 CLEAN = [
     "Người bệnh đã xuất viện. MÃ HỒ SƠ 70064, NGƯỜI BỆNH ĐÃ XUẤT VIỆN", "SUIVI DE LA TÂCHE: À l’hôpital, la fièvre « régresse »", "Größere Mengen Süßstoff; Äpfel nur geschält", "Łódzki żur i świeży ogórek: sól",
-    "При отёках назначают диету, чем раньше", "Ґрунтовна перевірка їжі: є зміни", "Њега бубрега: љекар, џеп и ђак", "Σ liều ≈ √(cân nặng) × ∞? ∂V/∂t ≤ ∫ dòng, Ω = 0", "║ ca 1 ║ ca 2 ║\n╠══════╬══════╣\n┌──┐", "腎臓の記録：水分は少なめに。", "⚠️ 👍🏽 ✅ 🙏",
+    "При отёках назначают диету, чем раньше", "НАБЛЮДЕНИЕ. ДИАГНОЗ: ХБП, УЗИ", "Ґрунтовна перевірка їжі: є зміни", "Њега бубрега: љекар, џеп и ђак", "Σ liều ≈ √(cân nặng) × ∞? ∂V/∂t ≤ ∫ dòng, Ω = 0", "║ ca 1 ║ ca 2 ║\n╠══════╬══════╣\n┌──┐", "腎臓の記録：水分は少なめに。", "⚠️ 👍🏽 ✅ 🙏",
     "Giá: £12, ¥900, ¢50, ƒ3", "Điều khoản § 4, ¶ 2 ®", "Það er ðæ, þörf", "", "   ", "ascii only",
 ]
 VIETNAMESE = "Người bệnh cần được theo dõi huyết áp, đường huyết và chức năng thận ở nhà"
@@ -34,6 +34,9 @@ def test_round_trip(encoding, text):
 def test_twice_garbled_and_single_byte_encodings():
     assert repair(garble(garble(VIETNAMESE, "cp1252"), "cp1252")) == (VIETNAMESE, True)
     assert repair(RUSSIAN.encode("cp1251").decode("cp1252")) == (RUSSIAN, True)
+    assert repair("Врач объясняет. " + "Высокий уровень калия".encode("koi8_r").decode("cp1251")) == ("Врач объясняет. Высокий уровень калия", True)
+    assert repair("trong tyÒ lệ") == ("trong tỷ lệ", True)
+    assert repair("измеряют âåñ и пульс") == ("измеряют вес и пульс", True)
     assert repair("giai ðoaòn, tuÒy thâòn xõ hóa") == ("giai đoạn, tủy thận xơ hóa", True)
 
 
