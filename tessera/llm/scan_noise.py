@@ -279,8 +279,11 @@ class Repair:
         spans = self.spans(text, lower, source, page, headers)
         if spans:
             noise.update(k for _, _, k in spans)
-            for start, end, _ in sorted(spans, reverse=True):
-                text = text[:start] + text[end:]
+            kept, done = [], 0
+            for start, end, _ in sorted(spans):  # spans may overlap
+                kept.append(text[done:start])
+                done = max(done, end)
+            text = "".join(kept) + text[done:]
             text = re.sub(r"\n[ \t\r]*(?=\n)", "\n", text)
             lower = text.lower()
         if "-" in text or "¬" in text or "‐" in text:
@@ -321,7 +324,7 @@ class Repair:
         if mark == "¬":
             return True
         whole = self.known(left + right)
-        return whole > max(1, parts) or (not whole and parts <= 1 and ("\n" in space or len(space) > 1))
+        return whole > 1 or (not whole and parts <= 1 and ("\n" in space or len(space) > 1))
 
     def correct(self, text: str, odd: set[str]) -> tuple[str, bool]:
         out, wrong = [], False

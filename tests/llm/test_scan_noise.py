@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from tessera.llm.scan_noise import Model, Repair, candidate_line, paragraphs, repaired, scan_damage, title_of
 
-WORDS = {w: 500 for w in "thuốc bệnh thận người trong được kali máu theo dõi patients serum follow up low dose drug interstitium and carbonat natri blood acid".split()} | {"bicarbonat": 300, "interstitium": 300, "clo": 90, "do": 600, "bi": 2, "ương": 1, "th": 2, "thương": 400, "tổn": 400}
+WORDS = {w: 500 for w in "thuốc bệnh thận người trong được kali máu theo dõi patients serum follow up low dose drug interstitium and carbonat natri blood acid".split()} | {"bicarbonat": 300, "in": 900, "inpatients": 40, "interstitium": 300, "clo": 90, "do": 600, "bi": 2, "ương": 1, "th": 2, "thương": 400, "tổn": 400}
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +22,7 @@ FILE = "Sổ tay lọc máu tập 6 - 2000-122.pdf"
     ("Tổn th¬ ương trong thận", 5, {"hyphenation"}, "Tổn thương trong thận"),
     ("natri bi-  carbonat máu", 5, {"hyphenation"}, "natri bicarbonat máu"),
     ("natri bi-\nTrang 464\nCHAPTER 3 - SỔ  TAY LỌC MÁU\ncarbonat máu", 464, {"hyphenation", "page_number", "running_header"}, "natri bicarbonat máu"),
+    ("theo in-\npatients người", 5, {"hyphenation"}, None),
     ("low-\ndose drug and follow-up", 5, set(), None),
     ("người bệnli tr0ng thiiốc được", 5, {"misread"}, "người bệnh trong thuốc được"),
     ("clo máu trong thận", 5, set(), "clo máu trong thận"),
@@ -40,6 +41,8 @@ def test_damage_and_repair(repair, text, page, noise, want):
 
 def test_unknown_source_and_learned_header(repair):
     assert repair("kali máu\nPhần II - Bệnh học\ntheo dõi", "x.pdf", 3, ["phan ii - benh hoc"])[1] == {"running_header"}
+    text = "Tổn th-\nPhần II - Bệnh học (tiếp)\n416 / 459\nương trong thận"
+    assert repair(text, "x.pdf", 416, ["phan ii - benh hoc", "phan ii - benh hoc (tiep)", "phan ii - benh hoc #"]) == ("Tổn thương trong thận", {"running_header", "page_number", "hyphenation"})
     assert repair("kali máu\n[48]\ntheo dõi", None, None, ())[1] == {"page_number"}
 
 
