@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ascii_key_trimmed
 from tessera.functions.vocab import RETRIEVAL_STOPWORDS
+from tessera.session import broadcast_if_small
 
 K1, B, FLOOR = 1.5, 0.75, 0.01
 RRF_K = 60
@@ -88,10 +89,10 @@ def conjunctive(queries: DataFrame, index: DataFrame, top: int = 30) -> DataFram
 def pattern_hits(passages: DataFrame, patterns: DataFrame, fields: Sequence[str], top: int = 30) -> DataFrame:
     """(query_id, id, score, rank): number of a query's patterns that are found in any of the fields, case ignored.
 
-    patterns: (query_id, patterns ARRAY), a small stated set of at most some thousand queries, sent to the passages; the
-    passages are not shuffled before they are counted.
+    patterns: (query_id, patterns ARRAY), a stated set of queries. Up to a checked number they are sent to the passages;
+    beyond it the planner pairs partitions of both. The passages are not shuffled before they are counted.
     """
-    found = F.broadcast(patterns).select("query_id", F.transform("patterns", F.lower).alias("patterns"))
+    found = broadcast_if_small(patterns).select("query_id", F.transform("patterns", F.lower).alias("patterns"))
     text = F.lower(F.concat_ws("\n", *fields))
     counted = passages.withColumn("text_", text).crossJoin(found)
     counted = counted.select("query_id", "id", F.size(F.filter("patterns", lambda p: F.contains(F.col("text_"), p))).alias("score"))

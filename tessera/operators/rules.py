@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import formula
 from tessera.functions.vocab import BLACK_FACTOR, CKD_EPI, FORMULAS, SEX_FACTORS, UNIT_ALIASES
+from tessera.session import broadcast_if_small
 
 RULE_SCHEMA = "biomarker string, op string, value double, low double, high double, rule_unit string, label string, disease string"
 #: Rules up to this number are sent to the measurements; beyond that they are joined by shuffling on the biomarker.
@@ -53,12 +54,11 @@ def evaluate_rules(measurements: DataFrame, rules: DataFrame) -> DataFrame:
     that don't match are kept with ``matched`` false. The number of pairs is that of the measurements times the rules of
     one biomarker. Rules are broadcast up to a checked number.
     """
-    few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    scoped = rules.where("disease is not null").select("biomarker", F.col("disease").alias("scope")).distinct()
-    table = rules.withColumn("rule_value", F.col("value")).drop("value")
+    scoped = broadcast_if_small(rules.where("disease is not null").select("biomarker", F.col("disease").alias("scope")).distinct().withColumn("known", F.lit(True)), BROADCAST_RULES)
+    table = broadcast_if_small(rules.withColumn("rule_value", F.col("value")).drop("value"), BROADCAST_RULES)
     m = measurements.select("request_id", "biomarker", "value", unit_alias(F.col("unit")).alias("unit"), F.col("disease").alias("asked"))
-    m = m.join(F.broadcast(scoped.withColumn("known", F.lit(True))) if few else scoped.withColumn("known", F.lit(True)), (m.biomarker == scoped.biomarker) & (m.asked == scoped.scope), "left").select(m["*"], F.coalesce("known", F.lit(False)).alias("scoped"))
-    pairs = m.join(F.broadcast(table) if few else table, "biomarker")
+    m = m.join(scoped, (m.biomarker == scoped.biomarker) & (m.asked == scoped.scope), "left").select(m["*"], F.coalesce("known", F.lit(False)).alias("scoped"))
+    pairs = m.join(table, "biomarker")
     pairs = pairs.where(~F.col("scoped") | F.col("disease").isNull() | (F.col("disease") == F.col("asked")))
     converted = pairs.withColumn("converted", in_rule_unit(F.col("value"), F.col("unit"), F.col("rule_unit"))).where("converted is not null")
     matched = meets(F.col("converted"), F.col("op"), F.col("rule_value"), F.col("low"), F.col("high"))

@@ -10,7 +10,7 @@ from tessera.functions.vocab import CLASS_RULES, UNIT_ALIASES
 from tessera.operators import rules as RU
 from tessera.operators.retrieval import best, content_tokens
 from tessera.queries.search import sql_key, sql_tokens
-from tessera.session import table
+from tessera.session import broadcast_if_small, table
 
 QUERIES = {}
 SQL = {}
@@ -180,5 +180,5 @@ def joi15_evidence_match(spark, folder):
 def joi17_enrichment(spark, folder):
     """Cases with the number of reference entries they name; cases without one stay, with zero."""
     cases = table(spark, folder, "threshold_qa").select("id", T.ascii_key_trimmed("query").alias("q")).distinct()
-    names = F.broadcast(table(spark, folder, "biomarker_reference").limit(10_000).select(T.ascii_key_trimmed("biomarker").alias("k")))
+    names = broadcast_if_small(table(spark, folder, "biomarker_reference").select(T.ascii_key_trimmed("biomarker").alias("k")))
     return cases.join(names, F.contains("q", F.col("k")), "left").groupBy("id").agg(F.count("k").alias("named"))

@@ -12,7 +12,7 @@ from tessera.operators import retrieval as R
 from tessera.queries.search import _ASKED, _INDEX, _bm25, _passages, _queries, sql_fold, sql_key, sql_tokens
 from tessera.queries.strings import _QA, _qa, _sql_hint
 from tessera.queries.tables import _CHUNKS, _DOCS, _chunks, _docs
-from tessera.session import table
+from tessera.session import broadcast_if_small, table
 
 QUERIES = {}
 SQL = {}
@@ -226,7 +226,7 @@ def top05_heuristic_rerank(spark, folder):
     SELECT row_id, ARG_MAX(biomarker, STRUCT_PACK(e := p + l, l := l)) AS biomarker FROM h GROUP BY row_id""")
 def top13_rightmost_name(spark, folder):
     """The reference name that ends last in a rule's text, of several the longest."""
-    ref = F.broadcast(table(spark, folder, "biomarker_reference").limit(10_000).select("biomarker", F.lower("name_vi").alias("a")))
+    ref = broadcast_if_small(table(spark, folder, "biomarker_reference").select("biomarker", F.lower("name_vi").alias("a")))
     t = _t(spark, folder).select("row_id", F.lower("source_text").alias("s"))
     hits = t.join(ref, F.contains("s", F.col("a"))).select("row_id", "biomarker", F.position(F.col("a"), F.col("s")).alias("p"), F.length("a").alias("l"))
     return hits.groupBy("row_id").agg(F.max_by("biomarker", F.struct((F.col("p") + F.col("l")).alias("e"), "l")).alias("biomarker"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ascii_key_trimmed, lower_key
 from tessera.operators import ordered as O
 from tessera.queries.search import sql_key
-from tessera.session import table
+from tessera.session import broadcast_if_small, table
 
 TEN = ("biomarker", "threshold_op", "threshold_value", "threshold_value_min", "threshold_value_max", "threshold_unit", "disease_name", "section_type", "page")
 NINE = ("biomarker", "threshold_op", "threshold_value", "threshold_value_min", "threshold_value_max", "threshold_unit", "label", "disease_name", "sex")
@@ -313,8 +313,8 @@ def joi07_alias_lookup(spark, folder):
 
 @query("""SELECT q.id, ARG_MIN(b.biomarker, b.biomarker_id) AS hint FROM (SELECT DISTINCT id, query FROM threshold_qa) q JOIN biomarker_reference b ON CONTAINS(LOWER(q.query), LOWER(b.name_vi)) OR CONTAINS(LOWER(q.query), LOWER(b.name_en)) GROUP BY q.id""")
 def joi08_alias_containment(spark, folder):
-    # The reference list is a fixed small table; it goes to the questions.
-    ref = F.broadcast(_t(spark, folder, "biomarker_reference").limit(10_000).select("biomarker_id", "biomarker", F.lower("name_vi").alias("vi"), F.lower("name_en").alias("en")))
+    # The reference list is a fixed small table; its size is checked.
+    ref = broadcast_if_small(_t(spark, folder, "biomarker_reference").select("biomarker_id", "biomarker", F.lower("name_vi").alias("vi"), F.lower("name_en").alias("en")))
     qa = _t(spark, folder, "threshold_qa").select("id", F.lower("query").alias("q")).distinct()
     return qa.join(ref, F.contains("q", F.col("vi")) | F.contains("q", F.col("en"))).groupBy("id").agg(F.min_by("biomarker", "biomarker_id").alias("hint"))
 
