@@ -37,10 +37,15 @@ def content_tokens(text: Column, limit: int = QUERY_TOKENS) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda t: ~t.isin(RETRIEVAL_STOPWORDS))), 1, limit)
 
 
+def _with_length(words: Column) -> Column:
+    return F.flatten(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w: F.struct(w.alias("term"), F.size(ws).alias("length")))))
+
+
 def postings(passages: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
     """(term, id, tf, length): the inverted index. Null texts and texts without terms have no postings."""
-    worded = passages.select(F.col(id_column).alias("id"), terms(F.col(text_column)).alias("terms")).where(F.size("terms") > 0)
-    return worded.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # The terms are made once: the length goes with each of them, instead of being taken from a second copy of the array.
+    worded = passages.select(F.col(id_column).alias("id"), F.explode(_with_length(terms(F.col(text_column)))).alias("t"))
+    return worded.select("id", F.col("t.length").alias("length"), F.col("t.term").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_statistics(index: DataFrame) -> DataFrame:
