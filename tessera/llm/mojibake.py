@@ -125,8 +125,12 @@ def decode_span(span: str, encoding: str, before: str, after: str) -> str | None
     return text
 
 
-#: A multibyte character of which a byte was lost or became a space.
-_BROKEN = re.compile("[a-zđ][ÃÂ](?= )|á[º»](?=[^\\W\\d_])|(?<=[^\\W\\d_])áº|á»(?=[\\x80-\\x9f])|[ÄÆ][\\x80-\\x9f‘\\xa0°¡]|â€|Ã[\\x80-\\x9f]|ï¿½|ï»¿|ß[║╗]|├[─-▓]?(?=[^\\W\\d_])|ƒ[ëê]|б[єв»]|вЂ")
+#: A multibyte character of which a byte was lost or became a space. Cyrillic letters count only where no other Cyrillic
+#: letter stands beside them, and box drawing not where it may be a line of a tree.
+_BROKEN = re.compile(
+    "[a-zđ][ÃÂ](?= )|á[º»](?=[^\\W\\d_])|(?<=[^\\W\\d_])áº|á»(?=[\\x80-\\x9f])|[ÄÆ][\\x80-\\x9f‘\\xa0°¡]|â€|Ã[\\x80-\\x9f]|ï¿½|ï»¿|ß[║╗]|├[│┐┤║╕-╝╡-╣░-▓]?(?=[^\\W\\d_])|ƒ[ëê]"
+    "|(?<=[A-Za-zđĐ])б[єв»](?![Ѐ-ӿ])|(?<![Ѐ-ӿ])б[єв»](?=[A-Za-z])|(?<![Ѐ-ӿ])вЂ(?![Ѐ-ӿ])"
+)
 #: Words of accented Latin-1 letters only: single bytes of another alphabet.
 _ONE_BYTE = re.compile("(?<![^\\W\\d_])[\\xc0-\\xff\\xb8\\xa8]{4,}(?![^\\W\\d_])")
 _VOWEL_ACCENTS = frozenset("éèêëàâîïôûùçœæ")
@@ -286,6 +290,7 @@ def _suspects() -> tuple[re.Pattern, ...]:
         re.compile("[\xc0-\xff\xb8\xa8]{3}"),
         _SWAPPED,
         re.compile("[ÃÂá](?:(?<=[a-zđ][ÃÂ]) |(?<=á)[º»])"),
+        re.compile("[ÄÆâÃïß├ƒбв](?:(?<=[ÄÆ])[\\x80-\\x9f‘\\xa0°¡]|(?<=â)€|(?<=Ã)[\\x80-\\x9f]|(?<=ï)(?:¿½|»¿)|(?<=ß)[║╗]|(?<=├)[│┐┤║╕-╝╡-╣░-▓]?(?=[^\\W\\d_])|(?<=ƒ)[ëê]|(?<=б)[єв»]|(?<=в)Ђ)"),
         re.compile("[ÌÒÞìò](?<=[aâeêioôuyãõýAÂEÊIOÔUYÃÕÝ].)"),
     )
 

@@ -59,3 +59,19 @@ def test_documents(spark):
     assert got == [(1, True), (1, True), (5, False), (6, True)]
     assert rows(garbled_documents(df, restore=False).distinct()) == [(1,), (5,), (6,)]
     assert garbled_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["foo â€ bar", "xß║ t", "xß╗ t", "x├t", "x├║t", "dбє t", "dб» t", "foo вЂ bar", "xƒë t", "xÄ° t"])
+def test_prefilter_keeps_texts_whose_only_damage_is_a_broken_unit(text):
+    assert is_garbled(text) and suspect(text)
+
+
+@pytest.mark.parametrize("text", ["Права: обвинение, любви, «клуб», клуб» и пункт «б»", "├─foo\n├── bar", "їбє обвал"])
+def test_letters_of_broken_units_in_clean_texts(text):
+    assert not is_garbled(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ax â€ß║╗├бєв»ЂїƒëÄÆ°‘ï¿½"), max_size=12))
+def test_prefilter_over_broken_units(text):
+    assert suspect(text) or not is_garbled(text)
