@@ -2,15 +2,16 @@
 
 A unit's spelling is reduced to a key and, failing that, to its scale and dimensions; both are compared with the units the
 conversion table has for the quantity. A unit that stands only in the text is the one after the record's own number.
-Where none is written, the physical identity ``value in the common unit = value x factor`` decides: the unit with the
-smallest log residual against the quantity's usual magnitude is chosen, and marked where another one is as good.
+Where none is written, the identity ``number in the common unit = number x factor`` of all numbers of a record (value,
+lower and upper bound share one unit) decides: the unit with the smallest mean log residual against the usual magnitudes
+of these columns is chosen, and marked where another one is as good. A unit that is written but unknown stays unknown.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -151,12 +152,20 @@ class Converter:
                 return unit
         return None
 
-    def infer(self, quantity: str, value: float, usual: float) -> tuple[str | None, float, bool]:
-        """(unit, log residual, unique) of the unit that brings ``value`` closest to the usual log magnitude."""
-        if not value or value <= 0 or usual != usual:
+    def infer(self, quantity: str, numbers: Sequence[float | None], usual: Sequence[float]) -> tuple[str | None, float, bool]:
+        """(unit, mean log residual, unique) of the unit that brings a record's ``numbers`` together closest to their usual log magnitudes.
+
+        A column without a usual magnitude of its own is compared with the mean of the quantity's others.
+        """
+        there = [u for u in usual if u == u]
+        if not there:
             return None, math.nan, False
-        rated = sorted((abs(math.log(value * self.factor[quantity, u]) - usual), u != self.common[quantity], u) for u in self.keys.get(quantity, {}).values())
-        if not rated:
+        other = sum(there) / len(there)
+        pairs = [(n, u if u == u else other) for n, u in zip(numbers, usual) if n is not None and n > 0]
+        rated = sorted(
+            (sum(abs(math.log(n * self.factor[quantity, unit]) - u) for n, u in pairs) / max(1, len(pairs)), unit != self.common[quantity], unit) for unit in self.keys.get(quantity, {}).values()
+        )
+        if not rated or not pairs:
             return None, math.nan, False
         return rated[0][2], rated[0][0], len(rated) == 1 or rated[1][0] - rated[0][0] > OPEN
 
@@ -186,11 +195,12 @@ Resolver = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def with_units(records: DataFrame, conversions: DataFrame, stated: bool = False) -> DataFrame:
-    """(record_id, quantity, from_unit, unit_source): the unit of each record whose quantity the table has.
+    """(record_id, quantity, from_unit, unit_source, written): the unit of each record whose quantity the table has.
 
     records: (record_id, quantity, unit, text, value, low, high). ``unit_source`` is ``column`` or ``text``; a unit that the
     quantity doesn't have and a missing one give null. With ``stated`` the text states the unit of a result instead of
-    giving it after the record's number. Texts are read only where the column is null.
+    giving it after the record's number. Texts are read only where the column is null or blank. ``written`` is true where the column
+    has a unit, known or not.
     """
     rows = conversion_rows(conversions)
 
@@ -209,11 +219,12 @@ def with_units(records: DataFrame, conversions: DataFrame, stated: bool = False)
                     found = table.unit_stated(quantity, text) if stated else table.unit_in_text(quantity, text, (high, value, low))
                 units.append(found)
                 sources.append(source if found is not None else None)
-            yield pd.DataFrame({"record_id": batch["record_id"], "quantity": batch["quantity"], "from_unit": units, "unit_source": sources, "value": batch["value"], "low": batch["low"], "high": batch["high"]})
+            yield pd.DataFrame({"record_id": batch["record_id"], "quantity": batch["quantity"], "from_unit": units, "unit_source": sources, "value": batch["value"], "low": batch["low"], "high": batch["high"], "written": batch["unit"].notna()})
 
+    records = records.withColumn("unit", F.when(F.trim("unit") != "", F.col("unit")))
     needed = records.select("record_id", "quantity", "unit", F.when(F.col("unit").isNull(), F.col("text")).alias("text"), "value", "low", "high")
     known = needed.join(F.broadcast(conversions.select("quantity").distinct()), "quantity", "left_semi")
-    schema = "record_id string, quantity string, from_unit string, unit_source string, value double, low double, high double"
+    schema = "record_id string, quantity string, from_unit string, unit_source string, value double, low double, high double, written boolean"
     return known.select("record_id", "quantity", "unit", "text", "value", "low", "high").mapInPandas(find, schema)
 
 
@@ -222,7 +233,7 @@ def threshold_records(thresholds: DataFrame, reference: DataFrame, resolve: Reso
     names = resolve(thresholds.select(F.col("biomarker").alias("name")), reference).withColumnRenamed("biomarker", "quantity")
     rows = thresholds.select(
         F.col("row_id").cast("string").alias("record_id"), F.col("biomarker").alias("name"), F.col("threshold_unit").alias("unit"),
-        F.when(F.col("threshold_unit").isNull(), F.col("source_text")).alias("text"), F.col("threshold_value").alias("value"),
+        F.when(F.col("threshold_unit").isNull() | (F.trim("threshold_unit") == ""), F.col("source_text")).alias("text"), F.col("threshold_value").alias("value"),
         F.col("threshold_value_min").alias("low"), F.col("threshold_value_max").alias("high"),
     )
     return rows.join(names, "name").drop("name")
@@ -244,13 +255,18 @@ def other_units(thresholds: DataFrame, formulas: DataFrame, reference: DataFrame
     return found.join(common, "quantity").where("from_unit is not null and from_unit <> common_unit").select("source_table", "record_id", "from_unit")
 
 
+#: Columns of a record that share its unit.
+NUMBERS = ("value", "low", "high")
+
+
 def converted(thresholds: DataFrame, reference: DataFrame, conversions: DataFrame, resolve: Resolver = exact_names) -> DataFrame:
     """(row_id, quantity, common_unit, from_unit, unit_source, value, low, high, residual, unique_unit) of every threshold of a known quantity.
 
-    Values are in the common unit. Where no unit is written it is inferred (``unit_source`` is ``inferred``): the usual
-    magnitude of a quantity is the median log of its values with written units, an approximation of all of them; where
-    there are none, or the value isn't positive, unit and values stay null. ``unique_unit`` is false where another unit
-    explains the value nearly as well.
+    Values are in the common unit. Where neither the column nor the text has a unit it is inferred (``unit_source`` is
+    ``inferred``) from value, low and high together: the usual magnitude of each of these columns is the median log of the
+    quantity's numbers with written units, an approximation of all of them; where there are none, or no number is positive,
+    unit and values stay null, as they do where a unit is written that the quantity doesn't have. ``residual`` is the mean
+    over the record's numbers; ``unique_unit`` is false where another unit explains them nearly as well.
     """
     rows = conversion_rows(conversions)
     from tessera.session import checkpointed
@@ -258,19 +274,37 @@ def converted(thresholds: DataFrame, reference: DataFrame, conversions: DataFram
     found = checkpointed(with_units(threshold_records(thresholds, reference, resolve), conversions))
     factors = conversions.select("quantity", "from_unit", "common_unit", "factor")
     known = found.join(F.broadcast(factors), ["quantity", "from_unit"])
-    usual = {r[0]: r[1] for r in known.where("value > 0").groupBy("quantity").agg(F.percentile_approx(F.log(F.col("value") * F.col("factor")), 0.5, 10_000).alias("m")).collect()}
+    medians = [F.percentile_approx(F.when(F.col(c) > 0, F.log(F.col(c) * F.col("factor"))), 0.5, 10_000).alias(c) for c in NUMBERS]
+    usual = {r[0]: [math.nan if m is None else m for m in r[1:]] for r in known.groupBy("quantity").agg(*medians).collect()}
+    nothing = [math.nan] * len(NUMBERS)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Converter(rows)
         for batch in batches:
-            picks = [table.infer(q, v, usual.get(q, math.nan)) if u is None else (u, 0.0, True) for q, u, v in zip(batch["quantity"], batch["from_unit"], batch["value"])]
+            picks = [
+                (u, 0.0, True) if u is not None else (None, math.nan, False) if written else table.infer(q, numbers, usual.get(q, nothing))
+                for q, u, written, *numbers in zip(batch["quantity"], batch["from_unit"], batch["written"], *(batch[c] for c in NUMBERS))
+            ]
             batch["from_unit"] = [p[0] for p in picks]
             batch["residual"] = [p[1] if p[1] == p[1] else None for p in picks]
             batch["unique_unit"] = [p[2] for p in picks]
             batch["unit_source"] = [s if s is not None else ("inferred" if p[0] is not None else None) for s, p in zip(batch["unit_source"], picks)]
-            yield batch
+            yield batch.drop(columns="written")
 
     schema = "record_id string, quantity string, from_unit string, unit_source string, value double, low double, high double, residual double, unique_unit boolean"
     chosen = found.mapInPandas(choose, schema).join(F.broadcast(factors), ["quantity", "from_unit"], "left")
-    scaled = [(F.col(c) * F.col("factor")).alias(c) for c in ("value", "low", "high")]
+    scaled = [(F.col(c) * F.col("factor")).alias(c) for c in NUMBERS]
     return chosen.select(F.col("record_id").cast("long").alias("row_id"), "quantity", "common_unit", "from_unit", "unit_source", *scaled, "residual", "unique_unit")
+
+
+def formula_units(formulas: DataFrame, conversions: DataFrame) -> DataFrame:
+    """(formula_id, quantity, common_unit, from_unit, unit_source, factor) of every formula whose result the table has.
+
+    A result times ``factor`` is in the common unit. Formulas have no numbers of their own: where no unit is written, or
+    one that the quantity doesn't have, unit and factor are null.
+    """
+    found = with_units(formula_records(formulas), conversions, stated=True)
+    common = F.broadcast(conversions.select("quantity", "common_unit").distinct())
+    factors = F.broadcast(conversions.select("quantity", "from_unit", "factor"))
+    named = found.join(common, "quantity").join(factors, ["quantity", "from_unit"], "left")
+    return named.select(F.col("record_id").alias("formula_id"), "quantity", "common_unit", "from_unit", "unit_source", "factor")

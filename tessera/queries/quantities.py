@@ -18,5 +18,10 @@ def p7_converted(spark: SparkSession, folder: str, resolve: units.Resolver = uni
     return units.converted(*(table(spark, folder, t) for t in ("thresholds_extra", "biomarker_reference", "unit_conversions")), resolve)
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_converted)}
+def p7_formulas(spark: SparkSession, folder: str) -> DataFrame:
+    """The factor that brings each formula's result to the common unit of its quantity."""
+    return units.formula_units(table(spark, folder, "formulas"), table(spark, folder, "unit_conversions"))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_converted, p7_formulas)}
 SQL: dict[str, str] = {}

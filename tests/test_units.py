@@ -3,7 +3,7 @@ import math
 import pytest
 
 from conftest import rows
-from tessera.operators.units import Converter, converted, dimensions, other_units, unit_key
+from tessera.operators.units import Converter, converted, dimensions, formula_units, other_units, unit_key
 
 CONVERSIONS = [
     ("creatinine", "μmol/L", "μmol/L", 1.0), ("creatinine", "mg/dL", "μmol/L", 88.4), ("GFR", "ml/ph/1.73m2", "ml/ph/1.73m2", 1.0), ("GFR", "ml/s/1.73m2", "ml/ph/1.73m2", 60.0),
@@ -67,3 +67,23 @@ def test_values_in_the_common_unit_and_inferred_units(spark):
 def test_empty_tables(spark):
     t, f, r, c = frames(spark, [], [])
     assert other_units(t, f, r, c).count() == 0 and converted(t, r, c).count() == 0
+
+
+def test_inference_uses_all_numbers_and_only_where_nothing_is_written(spark):
+    known = [(i, "creatinine", "μmol/L", "", 80.0 + i, 60.0 + i, 110.0 + i, None, None) for i in range(9)]
+    # By its value alone row 20 would be in μmol/L (or open), its bounds are in mg/dL; row 21 has bounds only; row 22 has a written unit of another quantity.
+    asked = [(20, "creatinine", None, "no unit", 12.0, 0.7, 1.3, None, None), (21, "creatinine", None, None, None, 0.7, 1.3, None, None), (22, "creatinine", "kPa", "", 1.0, None, None, None, None), (23, "creatinine", None, None, 0.0, -1.0, None, None, None), (24, "creatinine", " ", "SCr > 2,5 mg%", 2.5, None, None, None, None)]
+    t, _, r, c = frames(spark, known + asked, [])
+    out = {x.row_id: x for x in converted(t, r, c).collect()}
+    assert Converter(CONVERSIONS).infer("creatinine", (12.0,), (4.43,))[0] == "μmol/L"
+    assert out[20].from_unit == "mg/dL" and out[20].unit_source == "inferred" and out[20].high == pytest.approx(1.3 * 88.4)
+    assert out[21].from_unit == "mg/dL" and out[21].unique_unit and out[21].value is None and out[21].low == pytest.approx(0.7 * 88.4)
+    assert (out[22].from_unit, out[22].unit_source, out[22].value, out[22].residual, out[22].unique_unit) == (None, None, None, None, False)
+    assert out[23].from_unit is None and out[23].value is None
+    assert (out[24].from_unit, out[24].unit_source) == ("mg/dL", "text")
+
+
+def test_formulas_get_common_unit_and_factor(spark):
+    formulas = [("f1", "fena_percent", None, "FENa = a / b, kết quả tính bằng tỷ số."), ("f2", "fena_percent", "pct", None), ("f3", "fena_percent", "kPa", None), ("f4", "other", "%", None)]
+    _, f, _, c = frames(spark, [], formulas)
+    assert rows(formula_units(f, c)) == [("f1", "fena_percent", "%", "tỷ số", "text", 100.0), ("f2", "fena_percent", "%", "%", "column", 1.0), ("f3", "fena_percent", "%", None, None, None)]
