@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -145,6 +145,52 @@ def blocks(text: Column, least: int = 30) -> Column:
     return F.filter(F.transform(F.split(marked, "\x1e"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= least)
 
 
+def stripped_lines(text: Column) -> Column:
+    """Non-blank lines without white space of any kind at their ends; every line separator of Unicode counts."""
+    found = F.split(text, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")), lambda x: x != "")
+
+
+def bullet_units(found: Column) -> Column:
+    """Lines of :func:`stripped_lines` grouped to units: each begins at a line with a bullet, the first one anyhow."""
+    return F.filter(F.split(F.array_join(found, "\n"), r"\n(?=[–•-])"), lambda x: x != "")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def packed_units(block: Column, least: int = 1100, most: int = 900, units: int = 2) -> Column:
+    """Pieces of a block of ``least`` characters or more: its bullet units, at most ``units`` or ``most`` characters each.
+
+    A numbered heading line is repeated in every piece and counts towards its length; a unit that is too long alone is a
+    piece. Smaller blocks and those of fewer than three units stay whole.
+    """
+
+    def pack(found: Column, heading: Column) -> Column:
+        begin = F.coalesce(F.length(heading), F.lit(0))
+        piece = lambda n, size, text: F.struct(n.alias("n"), size.alias("size"), text.alias("text"))
+
+        def add(acc: Column, unit: Column) -> Column:
+            last = F.element_at(acc, -1)
+            full = (last["n"] >= units) | (last["size"] + F.length(unit) > most)
+            alone = F.array(piece(F.lit(1), begin + F.length(unit), unit))
+            longer = F.array(piece(last["n"] + 1, last["size"] + F.length(unit), F.concat(last["text"], F.lit("\n"), unit)))
+            return F.when(F.size(acc) == 0, alone).when(full, F.concat(acc, alone)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), longer))
+
+        folded = F.aggregate(found, F.array().cast("array<struct<n:int,size:int,text:string>>"), add)
+        return F.transform(folded, lambda p: F.concat_ws("\n", heading, p["text"]))
+
+    def split(found: Column) -> Column:
+        first = F.get(found, F.lit(0))
+        heading = F.when(first.rlike(r"(?U)^\d+(?:\.\d+)*\.?\s+.+$"), first)
+        body = F.when(heading.isNotNull(), F.slice(found, 2, F.size(found))).otherwise(found)
+        return _let(bullet_units(body), lambda us: F.when(F.size(us) >= 3, pack(us, heading)).otherwise(F.array(block)))
+
+    return F.when(F.length(block) >= least, _let(stripped_lines(block), split)).otherwise(F.array(block))
+
+
 def inline_thresholds(text: Column) -> Column:
     """ARRAY<STRUCT<op, value, unit>> of the comparisons with a number and a known unit, in order."""
     pattern = r"(?i)(<=|>=|≤|≥|<|>)\s*([0-9]+(?:[.,][0-9]+)?)\s*(g/24h|g/l|mmol/l|mg/g|mg/mmol|mg/dl|ml/ph/1[.,]73m2|ml/ph|mmhg|%)"

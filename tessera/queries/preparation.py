@@ -35,17 +35,16 @@ def _t(spark, folder):
 # Splitting --------------------------------------------------------------------------------------------------------
 @query()
 def gen03_packed_units(spark, folder):
-    """Passages packed greedily into pieces of at most two lines or 160 characters, as a fold over their lines."""
-    pieces = F.aggregate(
-        P.lines(F.col("content")),
-        F.array().cast("array<struct<n:int,t:string>>"),
-        lambda acc, line: F.when(
-            (F.size(acc) == 0) | (F.element_at(acc, -1)["n"] >= 2) | (F.length(F.element_at(acc, -1)["t"]) + F.length(line) > 160),
-            F.concat(acc, F.array(F.struct(F.lit(1).alias("n"), line.alias("t")))),
-        ).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct((F.element_at(acc, -1)["n"] + 1).alias("n"), F.concat(F.element_at(acc, -1)["t"], F.lit("\n"), line).alias("t"))))),
-    )
+    """Every passage taken as a block: large ones are split between bullet units, the others stay whole."""
     d = table(spark, folder, "medical_documents").where("content is not null").select("document_id", "content").distinct()
-    return d.select("document_id", F.posexplode(pieces).alias("pos", "p")).select("document_id", "pos", F.col("p.t").alias("piece"))
+    return d.select("document_id", F.posexplode(P.packed_units(F.col("content"))).alias("pos", "piece"))
+
+
+@query()
+def gen04_unit_texts(spark, folder):
+    """The bullet units of every passage; ``gen04_bullet_units`` has only the number of bullet lines."""
+    d = table(spark, folder, "medical_documents").where("content is not null").select("document_id", "content").distinct()
+    return d.select("document_id", F.posexplode(P.bullet_units(P.stripped_lines(F.col("content")))).alias("pos", "unit"))
 
 
 @query("SELECT document_id, LEN(LIST_FILTER(LIST_TRANSFORM(REGEXP_SPLIT_TO_ARRAY(content, '\\r?\\n'), lambda x: TRIM(x)), lambda x: REGEXP_MATCHES(x, '^[–•-]'))) AS bullets FROM (SELECT DISTINCT document_id, content FROM medical_documents)")
