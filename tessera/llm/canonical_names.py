@@ -81,7 +81,9 @@ class NameMatcher:
 
     def best(self, form: str) -> tuple[int, int] | None:
         """(distance, id) of the closest entry within the allowed distance of its form."""
-        for limit in range(1, allowed(len(form) + 1) + 1):  # few errors first: they visit few nodes
+        # An entry may be longer than the form by its own errors, so its length decides how many there may be.
+        most = max((d for d in range(1, allowed(1 << 30) + 1) if d <= allowed(len(form) + d)), default=0)
+        for limit in range(1, most + 1):  # few errors first: they visit few nodes
             hits = [(d, i) for d, path, i in self.trie.search(form, limit) if d <= allowed(len(path))]
             if hits:
                 return min(hits)

@@ -1,9 +1,10 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
 from tessera.llm.automaton import Trie
-from tessera.llm.canonical_names import NameMatcher, canonical_names
+from tessera.llm.canonical_names import UNMATCHED, NameMatcher, canonical_names
 
 WORDS = st.text("abcd", min_size=0, max_size=7)
 
@@ -47,3 +48,13 @@ def test_names_of_both_tables(spark):
     got = rows(canonical_names(thresholds, audits, reference))
     assert got == [("medical_tools_audit_report", "9", 0, "creatinine"), ("thresholds_extra", "1", 0, "potassium"), ("thresholds_extra", "4", 0, "unmatched"), ("thresholds_extra", "5", 0, "potassium")]
     assert canonical_names(thresholds.limit(0), audits.limit(0), reference).count() == 0
+
+
+@pytest.mark.parametrize("typed, entry", [("albmn", "albumin"), ("phosphlpd", "phospholipid"), ("phosphlipd", "phospholipid"), ("ferrtn", "ferritin")])
+def test_deletions_are_counted_by_the_length_of_the_entry(typed, entry):
+    assert NameMatcher([(1, entry, [])]).match(typed) == entry
+
+
+@pytest.mark.parametrize("typed, entry", [("albm", "albumin"), ("phosphlp", "phospholipid"), ("na", "natri"), ("ur", "urea")])
+def test_too_many_deletions_stay_unmatched(typed, entry):
+    assert NameMatcher([(1, entry, [])]).match(typed) == UNMATCHED
