@@ -3,7 +3,11 @@
 A noisy channel: the page's words were changed by the printer's line breaks, by running headers and page numbers between
 the lines and by confused characters. One pass over all texts counts words, pairs of neighbouring words and repeated
 short lines of each source file; the second undoes the damage text by text. Confused characters are decoded by Viterbi
-over the candidate words of each line, with confusion probabilities times n-gram likelihood.
+over the candidate words of each line, with confusion probabilities times n-gram likelihood at every step.
+
+All counts are kept, however rare a word is. Words that confusions can turn into each other share a signature, so the
+candidates of a word are found by an equi-join. Where the counts are few enough they go to every task; beyond that each
+text gets those of its own words and pairs by a join. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.plain import bare, one_line
@@ -29,11 +33,15 @@ CONFUSIONS = (
     ("5", "s", 0.3), ("8", "b", 0.3), ("6", "b", 0.1), ("$", "s", 0.2), ("@", "a", 0.2), ("€", "e", 0.2), ("£", "e", 0.1),
     ("li", "h", 0.05), ("ii", "u", 0.05), ("rn", "m", 0.05), ("cl", "d", 0.05), ("vv", "w", 0.05), ("m", "rn", 0.02),
 )
-MAX_CONFUSED = 4
-#: A word belongs to the vocabulary from this share of all words on, so that it has at most a million words; at least two.
-WORD_SHARE = 1e-6
-#: A line is a header of its source from this share of the source's candidate lines on, so that a source has at most 200.
-LINE_SHARE = 0.005
+#: Words and pairs up to which the counts are sent to every task; beyond that they are joined to the texts.
+MAX_SHARED = 1_000_000
+#: Words this common that have no other reading are not looked up by a join; so many of them are sent to every task.
+COMMON = 50_000
+#: A word must occur this often to be what another one was misread from.
+LEAST = 3
+#: Weight of the single words' share against the counts of pairs.
+SMOOTH = 20
+#: A line is a header of its source from this many occurrences on, if so large a part of them are in this source.
 LINE_MIN = 5
 LINE_OWN = 0.9
 #: Headers of up to this many rows are broadcast; beyond that they are joined by shuffling.
@@ -57,6 +65,8 @@ _PAGE_FORMS = re.compile(
     re.I,
 )
 _MARK = re.compile("[-‐‑¬]")
+#: Compounds written in one line.
+_COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+-[^\W\d_]+(?![\w-])")
 #: The halves beside a mark; signs that stand for letters belong to them.
 _LEFT = re.compile(r"[\w¢!|]*[^\W\d_][¢!|0-9]?$")
 _RIGHT = re.compile(r"(\s*)((?=[\w¢!|]*[^\W\d_])[\w¢!|]+)")
@@ -88,7 +98,7 @@ def settle(text: str, form: Consistent) -> str:
 
 
 def corpus_counts(records: DataFrame) -> DataFrame:
-    """(kind, a, b, n): words (w, word, ''), pairs of neighbours (p, word, word), candidate lines (h, source, line).
+    """(kind, a, b, n): words (w, word, ''), compounds (c, compound, ''), pairs of neighbours (p, word, word), candidate lines (h, source, line).
 
     All texts are counted. Each task counts for itself and hands its sums on, so what is shuffled has the size of the
     vocabulary, not of the texts.
@@ -97,29 +107,32 @@ def corpus_counts(records: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         form = Consistent()
         words: Counter = Counter()
+        compounds: Counter = Counter()
         pairs: Counter = Counter()
         lines: Counter = Counter()
 
         def out() -> Iterator[pd.DataFrame]:
-            for kind, counter in (("w", ((w, "", n) for w, n in words.items())), ("p", ((a, b, n) for (a, b), n in pairs.items())), ("h", ((s, x, n) for (s, x), n in lines.items()))):
+            for kind, counter in (("w", ((w, "", n) for w, n in words.items())), ("c", ((w, "", n) for w, n in compounds.items())), ("p", ((a, b, n) for (a, b), n in pairs.items())), ("h", ((s, x, n) for (s, x), n in lines.items()))):
                 rows = list(counter)
                 for i in range(0, len(rows), 50_000):
                     part = rows[i : i + 50_000]
                     yield pd.DataFrame({"kind": kind, "a": [r[0] for r in part], "b": [r[1] for r in part], "n": [r[2] for r in part]})
-            words.clear()
-            pairs.clear()
-            lines.clear()
+            for counter in (words, compounds, pairs, lines):
+                counter.clear()
 
         for batch in batches:
             for source, text in zip(batch["source"], batch["text"]):
                 if not text:
                     continue
-                tokens = TOKEN.findall(settle(text, form).lower())
+                lower = settle(text, form).lower()
+                tokens = TOKEN.findall(lower)
                 words.update(tokens)
+                if "-" in lower:
+                    compounds.update(_COMPOUND.findall(lower))
                 pairs.update(zip(tokens, tokens[1:]))
                 if source is not None and "\n" in text:
                     lines.update((source, line_key(x)) for x in text.split("\n") if candidate_line(x))
-            if len(words) + len(pairs) + len(lines) > FLUSH:
+            if len(words) + len(compounds) + len(pairs) + len(lines) > FLUSH:
                 yield from out()
         yield from out()
 
@@ -127,60 +140,107 @@ def corpus_counts(records: DataFrame) -> DataFrame:
     return parts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
+def _canonical() -> dict[str, str]:
+    """The signature of each character: characters that stand for one another have the same, a character that stands for
+    several has theirs."""
+    group: dict[str, str] = {}
+
+    def root(char: str) -> str:
+        while group.get(char, char) != char:
+            char = group[char]
+        return char
+
+    for read, stands, _ in CONFUSIONS:
+        if len(read) == len(stands) == 1:
+            low, high = sorted((root(read), root(stands)))
+            group[high] = low
+    several = {min(pair, key=len): max(pair, key=len) for pair in ((r, s) for r, s, _ in CONFUSIONS) if len(pair[0]) != len(pair[1])}
+    singles = {c for read, stands, _ in CONFUSIONS for c in read + stands}
+    return {c: "".join(map(root, several.get(c, c))) for c in singles}
+
+
+_SIGNATURE = str.maketrans(_canonical())
+
+
+def signature(token: str) -> str:
+    """Equal for a word and whatever confusions make of it."""
+    return token.translate(_SIGNATURE)
+
+
+def _steps() -> dict[str, list[tuple[str, str, float]]]:
+    """Confusions by the first character read, as (read, stands, log probability); the characters of a pair may be confused too."""
+    single: dict[str, list[tuple[str, float]]] = {}
+    for read, stands, p in CONFUSIONS:
+        if len(read) == len(stands) == 1:
+            single.setdefault(stands, []).append((read, p))
+    found: dict[tuple[str, str], float] = {}
+    for read, stands, p in CONFUSIONS:
+        forms = [("", p)]
+        for char in read if len(read) > 1 else "":
+            forms = [(f + c, q * r) for f, q in forms for c, r in [(char, 1.0), *single.get(char, [])]]
+        for form, q in forms if len(read) > 1 else [(read, p)]:
+            found[form, stands] = max(found.get((form, stands), 0.0), q)
+    steps: dict[str, list[tuple[str, str, float]]] = {}
+    for (read, stands), p in found.items():
+        steps.setdefault(read[0], []).append((read, stands, math.log(p)))
+    return steps
+
+
+_STEPS = _steps()
+
+
+def channel(token: str, word: str) -> float | None:
+    """Log probability of reading ``word`` as ``token``; None where confusions don't lead from one to the other."""
+    level: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    best: float | None = None
+    for i in range(len(token) + 1):  # states are taken in order of the place in the token
+        for (at, j), score in [x for x in level.items() if x[0][0] == i]:
+            if i == len(token):
+                if j == len(word) and (best is None or score > best):
+                    best = score
+                continue
+            options = [(1, 1, 0.0)] if word[j : j + 1] == token[i] else []
+            options += [(len(r), len(s), p) for r, s, p in _STEPS.get(token[i], ()) if token.startswith(r, i) and word.startswith(s, j)]
+            for di, dj, p in options:
+                state = (i + di, j + dj)
+                if score + p > level.get(state, -math.inf):
+                    level[state] = score + p
+    return best
+
+
 @dataclass
 class Model:
-    """Vocabulary counts and the counts of the pairs around ambiguous words."""
+    """Counts of words and of the pairs in which a word may be misread; of the whole corpus or of what one text needs."""
 
     words: dict[str, int]
     total: int
     pairs: dict[tuple[str, str], int] = field(default_factory=dict)
-    #: Vocabulary words that only their neighbours can tell from another reading; ``pairs`` has theirs.
-    ambiguous: set[str] = field(default_factory=set)
     memo: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    classes: dict[str, list[str]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if not self.classes:
+            for word, n in self.words.items():
+                if n >= LEAST:
+                    self.classes.setdefault(signature(word), []).append(word)
 
     def readings(self, token: str) -> list[tuple[str, float]]:
-        """(word, log probability of reading it as ``token``): vocabulary words that confusions turn into ``token``."""
+        """(word, log probability of reading it as ``token``): more frequent words that confusions turn into ``token``."""
         known = self.memo.get(token)
-        if known is not None:
-            return known
-        level, found, seen = {token: 0.0}, {}, {token}
-        for _ in range(MAX_CONFUSED):
-            following: dict[str, float] = {}
-            for text, cost in level.items():
-                for read, stands, p in CONFUSIONS:
-                    place = text.find(read)
-                    while place >= 0:
-                        other = text[:place] + stands + text[place + len(read) :]
-                        if other not in seen:
-                            following[other] = max(following.get(other, -1e9), cost + math.log(p))
-                        place = text.find(read, place + 1)
-            if not following or len(following) > 2000:
-                break
-            for other, cost in following.items():
-                if self.words.get(other, 0) > max(2, self.words.get(token, 0)):
-                    found[other] = max(found.get(other, -1e9), cost)
-            seen.update(following)
-            level = following
-        self.memo[token] = known = sorted(found.items(), key=lambda x: -x[1])
+        if known is None:
+            if len(self.memo) > MAX_SHARED:
+                self.memo.clear()
+            n = max(LEAST - 1, self.words.get(token, 0))
+            found = [(other, cost) for other in self.classes.get(signature(token), ()) if self.words[other] > n and (cost := channel(token, other)) is not None]
+            self.memo[token] = known = sorted(found, key=lambda x: (-x[1], x[0]))
         return known
 
-    def suspicious(self) -> tuple[set[str], set[str]]:
-        """(vocabulary words with other readings, those among them that only context can tell from every reading)."""
-        sus, close = set(), set()
-        for word, n in self.words.items():
-            if _LETTER.search(word) and (readings := self.readings(word)):
-                sus.add(word)
-                if max(self.words[other] * math.exp(cost) for other, cost in readings) <= 4 * n:
-                    close.add(word)
-        return sus, close
-
-    def log_next(self, before: str | None, word: str, paired: bool) -> float:
-        """Log probability of ``word``, after ``before`` where the pairs of this place were counted."""
-        share = (self.words.get(word, 0) + 0.5) / self.total
-        if before is None or not paired:
+    def log_next(self, before: str | None, word: str, own: int, pair_own: int) -> float:
+        """Log probability of ``word`` after ``before``; ``own`` and ``pair_own`` are occurrences of the place itself, which prove nothing."""
+        share = (max(0, self.words.get(word, 0) - own) + 0.5) / self.total
+        if before is None:
             return math.log(share)
-        n = self.words.get(before, 0)
-        return math.log((self.pairs.get((before, word), 0) + 20 * share) / (n + 20))
+        return math.log((max(0, self.pairs.get((before, word), 0) - pair_own) + SMOOTH * share) / (self.words.get(before, 0) + SMOOTH))
 
     def decode(self, tokens: list[str], at: list[int]) -> dict[int, str]:
         """Viterbi over the readings of the tokens at the places ``at``; the changed places with their words.
@@ -197,15 +257,20 @@ class Model:
             before = tokens[first - 1] if first else None
             states: dict[str | None, tuple[float, list[str]]] = {before: (0.0, [])}
             for place in range(first, last + 1):
-                token = tokens[place]
-                paired = token in self.ambiguous
-                options = [(token, 0.0), *self.readings(token)]
+                token, previous_token = tokens[place], tokens[place - 1] if place else None
                 states = {
-                    word: max(((score + self.log_next(previous, word, paired) + cost, [*path, word]) for previous, (score, path) in states.items()), key=lambda x: x[0])
-                    for word, cost in options
+                    word: max(
+                        (
+                            (score + self.log_next(previous, word, word == token, word == token and previous == previous_token) + cost, [*path, word])
+                            for previous, (score, path) in states.items()
+                        ),
+                        key=lambda x: x[0],
+                    )
+                    for word, cost in [(token, 0.0), *self.readings(token)]
                 }
             after = tokens[last + 1] if last + 1 < len(tokens) else None
-            path = max(((score + (self.log_next(word, after, True) if after and tokens[last] in self.ambiguous else 0.0), way) for word, (score, way) in states.items()), key=lambda x: x[0])[1]
+            ended = ((score + (self.log_next(word, after, 0, word == tokens[last]) if after else 0.0), way) for word, (score, way) in states.items())
+            path = max(ended, key=lambda x: x[0])[1]
             changed |= {place: word for place, word in zip(range(first, last + 1), path) if word != tokens[place]}
             i = j + 1
         return changed
@@ -215,11 +280,15 @@ class Repair:
     """Finds and undoes the damage of one text at a time."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.use(model)
         self.form = Consistent()
-        suspicious, _ = model.suspicious()
-        self.good = {w for w in model.words if w not in suspicious}
         self.titles: dict[str, tuple[re.Pattern, re.Pattern] | None] = {}
+        self.headers: dict[str, tuple[str, re.Pattern]] = {}
+
+    def use(self, model: Model) -> None:
+        self.model = model
+        #: Words seen that have no other reading.
+        self.good: set[str] = set()
 
     def title(self, source: str) -> tuple[re.Pattern, re.Pattern] | None:
         """(title in lower case, whole header)."""
@@ -230,6 +299,15 @@ class Repair:
             self.titles[source] = (quick, re.compile(f"{_BEFORE_TITLE}(?<!\\w){pattern}(?!\\w){_AFTER_TITLE}", re.I)) if len(words) > 1 else None
         return self.titles[source]
 
+    def header(self, key: str) -> tuple[str, re.Pattern]:
+        """(its longest word, pattern in the folded text) of a learned header."""
+        if key not in self.headers:
+            if len(self.headers) > COMMON:
+                self.headers.clear()
+            words = [w for w in re.split(r"(#)|\s+", key) if w]
+            self.headers[key] = (max((w for w in words if w != "#"), key=len, default=""), re.compile(r"\s*".join(r"\d+" if w == "#" else re.escape(w) for w in words)))
+        return self.headers[key]
+
     def spans(self, text: str, lower: str, source: str | None, page: int | None, headers: Iterable[str]) -> list[tuple[int, int, str]]:
         """(start, end, kind) of headers and page numbers."""
         out: list[tuple[int, int, str]] = []
@@ -240,9 +318,9 @@ class Repair:
             folded = None
             for header in headers:
                 folded = folded or lower.translate(FOLD)
-                words = [r"\d+" if w == "#" else re.escape(w) for w in re.split(r"(#)|\s+", header) if w]
-                if words[0] in folded:
-                    out += [(m.start(), m.end(), HEADER) for m in re.finditer(r"\s*".join(words), folded)]
+                first, pattern = self.header(header)
+                if first in folded:
+                    out += [(m.start(), m.end(), HEADER) for m in pattern.finditer(folded)]
         number = str(page) if page is not None else None
         if number not in text if number is not None else "\n" not in text:
             return out
@@ -273,6 +351,10 @@ class Repair:
 
     def __call__(self, text: str, source: str | None, page: int | None, headers: Iterable[str], compose: bool = True) -> tuple[str, set[str]]:
         """(repaired text, kinds of damage); without ``compose`` the lines are not joined to paragraphs."""
+        return self.finish(*self.prepare(text, source, page, headers), compose)
+
+    def prepare(self, text: str, source: str | None, page: int | None, headers: Iterable[str]) -> tuple[str, set[str]]:
+        """(text without headers and page numbers, kinds of damage); needs no counts."""
         text = settle(text, self.form)
         noise: set[str] = set()
         lower = text.lower()
@@ -285,19 +367,24 @@ class Repair:
                 done = max(done, end)
             text = "".join(kept) + text[done:]
             text = re.sub(r"\n[ \t\r]*(?=\n)", "\n", text)
-            lower = text.lower()
+        return text, noise
+
+    def finish(self, text: str, noise: set[str], compose: bool) -> tuple[str, set[str]]:
+        """(repaired text, kinds of damage) of a text without page matter."""
         if "-" in text or "¬" in text or "‐" in text:
             text, broken = self.join(text)
             if broken:
                 noise.add(HYPHENATION)
-                lower = text.lower()
-        found = set(TOKEN.findall(lower)) - self.good
+        found = set(TOKEN.findall(text.lower())) - self.good
         if found:
             odd = {t for t in found if _LETTER.search(t) and self.model.readings(t)}
+            self.good |= found - odd
             if odd:
                 text, wrong = self.correct(text, odd)
                 if wrong:
                     noise.add(MISREAD)
+            if len(self.good) > MAX_SHARED:
+                self.good.clear()
         return paragraphs(text) if compose else text, noise
 
     def known(self, word: str) -> int:
@@ -307,11 +394,10 @@ class Repair:
 
     def join(self, text: str) -> tuple[str, bool]:
         out, done = [], 0
-        for m in _MARK.finditer(text):
-            left, right = _LEFT.search(text, max(done, m.start() - 40), m.start()), _RIGHT.match(text, m.end())
-            if left and right and self.splits(left[0], m[0], right[1], right[2]):
-                out.append(text[done : m.start()])
-                done = right.start(2)
+        for start, end, left, mark, space, right in halves(text):
+            if self.splits(left[max(0, done - start) :], mark, space, right):
+                out.append(text[done : start + len(left)])
+                done = end
         return ("".join(out) + text[done:], True) if done else (text, False)
 
     def splits(self, left: str, mark: str, space: str, right: str) -> bool:
@@ -323,8 +409,10 @@ class Repair:
             return words.get((left + right).lower(), 0) >= max(20, 50 * parts)
         if mark == "¬":
             return True
-        whole = self.known(left + right)
-        return whole > 1 or (not whole and parts <= 1 and ("\n" in space or len(space) > 1))
+        whole, compound = self.known(left + right), words.get(f"{left}-{right}".lower(), 0)
+        if whole:
+            return whole > max(1, compound)
+        return parts <= 1 and not compound and ("\n" in space or len(space) > 1)
 
     def correct(self, text: str, odd: set[str]) -> tuple[str, bool]:
         out, wrong = [], False
@@ -350,6 +438,17 @@ class Repair:
         return core != token and self.model.words.get(core, 0) > 0.05 * max(self.model.words[r] for r, _ in self.model.readings(token))
 
 
+def halves(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
+    """(start, end, left, mark, space, right) of every mark between two runs of letters; ``end`` is where the right one begins."""
+    for m in _MARK.finditer(text):
+        begin = m.start()
+        while begin and (text[begin - 1].isalnum() or text[begin - 1] in "_¢!|"):
+            begin -= 1
+        left, right = _LEFT.search(text, begin, m.start()), _RIGHT.match(text, m.end())
+        if left and right:
+            yield left.start(), right.start(2), left[0], m[0], right[1], right[2]
+
+
 class _Fold(dict):
     """``bare`` of single characters, for ``translate``; places stay the same."""
 
@@ -395,57 +494,143 @@ def scanned_records(thresholds: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def learned_headers(counts: DataFrame) -> DataFrame:
-    """(source, headers): lines that recur in one source file and hardly anywhere else, at most 200 per source."""
+    """(source, headers): lines that recur in one source file and hardly anywhere else."""
     lines = counts.where("kind = 'h'").select(F.col("a").alias("source"), F.col("b").alias("line"), "n")
     everywhere = lines.groupBy("line").agg(F.sum("n").alias("all_n"), F.max("n").alias("most")).where((F.col("most") >= LINE_MIN) & (F.col("most") >= LINE_OWN * F.col("all_n")))
-    own = lines.groupBy("source").agg(F.sum("n").alias("own_n"))
-    kept = lines.join(everywhere, "line").where(F.col("n") == F.col("most")).join(own, "source").where(F.col("n") >= LINE_SHARE * F.col("own_n"))
+    kept = lines.join(everywhere, "line").where(F.col("n") == F.col("most"))
     return kept.groupBy("source").agg(F.sort_array(F.collect_list("line")).alias("headers"))
 
 
-def fit(counts: DataFrame) -> Model:
-    """The model from the counts of the whole corpus; its size is bounded by :data:`WORD_SHARE`."""
-    total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
-    least = max(2, math.ceil(total * WORD_SHARE))
-    words = {r[0]: r[1] for r in counts.where((F.col("kind") == "w") & (F.col("n") >= least)).select("a", "n").collect()}
-    model = Model(words, max(1, total))
-    _, model.ambiguous = model.suspicious()
-    wanted = sorted(model.ambiguous.union(*([other for other, _ in model.readings(word)] for word in model.ambiguous)))
-    model.memo.clear()
-    if wanted:
-        near = counts.where((F.col("kind") == "p") & (F.col("n") >= least) & (F.col("a").isin(wanted) | F.col("b").isin(wanted)))
-        model.pairs = {(r[0], r[1]): r[2] for r in near.select("a", "b", "n").collect()}
-    return model
+def signature_column(column: Column) -> Column:
+    """:func:`signature` as an expression."""
+    table = _canonical()
+    for char, several in sorted(table.items()):
+        if len(several) > 1:
+            column = F.replace(column, F.lit(char), F.lit(several))
+    single = {c: o for c, o in table.items() if len(o) == 1 and c != o}
+    return F.translate(column, "".join(single), "".join(single.values()))
+
+
+def confusable(counts: DataFrame) -> DataFrame:
+    """(token): words that confusions make of a more frequent word. Candidates meet by their signature; distinct spellings only."""
+    words = counts.where("kind = 'w'").select(F.col("a").alias("token"), "n", signature_column(F.col("a")).alias("sig"))
+    others = words.where(F.col("n") >= LEAST).select(F.col("token").alias("other"), F.col("n").alias("m"), "sig")
+
+    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[_LETTER.search(t) is not None and channel(t, o) is not None for t, o in zip(batch["token"], batch["other"])]][["token"]]
+
+    return words.join(others, "sig").where("m > n").select("token", "other").mapInPandas(reachable, "token string").distinct()
+
+
+def pairs_in_doubt(counts: DataFrame) -> DataFrame:
+    """(a, b, n, key): the pairs whose signatures are those of a pair in which a word is confusable; ``key`` are the signatures."""
+    key = F.concat_ws(" ", signature_column(F.col("a")), signature_column(F.col("b")))
+    pairs = counts.where("kind = 'p'").select("a", "b", "n", key.alias("key"))
+    odd = checkpointed(confusable(counts))
+    keys = pairs.join(odd.withColumnRenamed("token", "a"), "a", "left_semi").select("key").unionByName(pairs.join(odd.withColumnRenamed("token", "b"), "b", "left_semi").select("key"))
+    return pairs.join(keys.distinct(), "key", "left_semi")
 
 
-def repaired(records: DataFrame, compose: bool = True) -> DataFrame:
+def repaired(records: DataFrame, compose: bool = True, max_shared: int = MAX_SHARED) -> DataFrame:
     """(source_table, record_id, paragraphs, noise) of every record: its text repaired and the kinds of damage it had.
 
     Empty texts stay empty; records with null source or page are repaired as far as that can be told without them.
-    Repeated records are repaired alike. Statistics cover all records; texts are handled whole and are not shuffled.
+    Repeated records are repaired alike. Statistics cover all records and all their words; texts are handled whole. Up to
+    ``max_shared`` words and pairs the texts are not shuffled.
     """
     counts = checkpointed(corpus_counts(records))
-    model = fit(counts)
-    shared = records.sparkSession.sparkContext.broadcast((model.words, model.total, model.pairs, model.ambiguous))
+    total = max(1, counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0)
+    pairs = checkpointed(pairs_in_doubt(counts))
+    vocabulary = counts.where("kind in ('w', 'c')").select(F.col("a").alias("word"), "n")
     headers = checkpointed(learned_headers(counts))
     if headers.count() <= BROADCAST_ROWS:
         headers = F.broadcast(headers)
+    joined = records.join(headers, "source", "left").select("source_table", "record_id", "source", "page", "text", "headers")
+    few = vocabulary.limit(max_shared + 1).count() + pairs.limit(max_shared + 1).count() <= max_shared
+    return _with_all_counts(joined, vocabulary, pairs, total, compose) if few else _with_own_counts(joined, vocabulary, pairs, total, compose)
+
+
+_REPAIRED = "source_table string, record_id string, paragraphs string, noise array<string>"
+
+
+def _prepared(engine: Repair, batch: pd.DataFrame) -> list[tuple[str, set[str]]]:
+    return [
+        engine.prepare(text, source, None if page is None or page != page else int(page), () if known is None else known)
+        for text, source, page, known in zip(batch["text"], batch["source"], batch["page"], batch["headers"])
+    ]
+
+
+def _with_all_counts(records: DataFrame, vocabulary: DataFrame, pairs: DataFrame, total: int, compose: bool) -> DataFrame:
+    """Few counts: all of them go to every task."""
+    words = {r[0]: r[1] for r in vocabulary.collect()}
+    shared = records.sparkSession.sparkContext.broadcast((words, total, {(r[0], r[1]): r[2] for r in pairs.select("a", "b", "n").collect()}))
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine = Repair(Model(*shared.value))
         for batch in batches:
-            done = [
-                engine(text, source, None if page is None or page != page else int(page), () if known is None else known, compose)
-                for text, source, page, known in zip(batch["text"], batch["source"], batch["page"], batch["headers"])
-            ]
+            done = [engine.finish(text, noise, compose) for text, noise in _prepared(engine, batch)]
             yield pd.DataFrame({"source_table": batch["source_table"], "record_id": batch["record_id"], "paragraphs": [d[0] if compose else None for d in done], "noise": [sorted(d[1]) for d in done]})
 
-    joined = records.join(headers, "source", "left").select("source_table", "record_id", "source", "page", "text", "headers")
-    return joined.mapInPandas(fix, "source_table string, record_id string, paragraphs string, noise array<string>")
+    return records.mapInPandas(fix, _REPAIRED)
+
+
+def _with_own_counts(records: DataFrame, vocabulary: DataFrame, pairs: DataFrame, total: int, compose: bool) -> DataFrame:
+    """Many counts: each text is joined with those of its own words and pairs.
+
+    A text asks for the signatures of its words, of the halves beside its marks and of its neighbouring words; common words
+    without another reading are left out before anything is shuffled, so that no hot word is joined. The other side of the
+    join has one row per signature.
+    """
+    classes = vocabulary.where(~F.col("word").contains("-")).groupBy(signature_column(F.col("word")).alias("key")).agg(F.collect_list(F.struct("word", F.lit("").alias("b"), "n")).alias("facts"))
+    compounds = vocabulary.where(F.col("word").contains("-")).select(F.col("word").alias("key"), F.array(F.struct("word", F.lit("").alias("b"), "n")).alias("facts"))
+    near = pairs.groupBy("key").agg(F.collect_list(F.struct(F.col("a").alias("word"), "b", "n")).alias("facts"))
+    facts = classes.unionByName(compounds).unionByName(near)
+    # Words alone in their class have no other reading; so many of the most frequent of them are known to every task.
+    alone = classes.where(F.size("facts") == 1).select(F.col("facts")[0]["word"].alias("word"), F.col("facts")[0]["n"].alias("n"))
+    common = records.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in alone.orderBy(F.desc("n"), "word").limit(COMMON).collect()})
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine, known = Repair(Model({}, total)), common.value
+        for batch in batches:
+            out: dict[str, list] = {"source_table": [], "record_id": [], "text": [], "noise": [], "keys": []}
+            for table, record, (text, noise) in zip(batch["source_table"], batch["record_id"], _prepared(engine, batch)):
+                keys: set[str] = set()
+                joined = text
+                for start, end, left, _, _, right in reversed(list(halves(text))):
+                    keys |= {signature(left.lower()), signature(right.lower()), signature((left + right).lower()), f"{left}-{right}".lower()}
+                    joined = joined[: start + len(left)] + joined[end:]
+                for version in {text, joined}:
+                    for line in version.split("\n"):
+                        tokens = TOKEN.findall(line.lower())
+                        signs = [None if t in known else signature(t) for t in tokens]
+                        keys.update(s for s in signs if s)
+                        keys.update(f"{a or signature(t)} {b or signature(u)}" for (t, a), (u, b) in zip(zip(tokens, signs), zip(tokens[1:], signs[1:])) if a or b)
+                for column, value in zip(out, (table, record, text, sorted(noise), sorted(keys))):
+                    out[column].append(value)
+            yield pd.DataFrame(out)
+
+    asked = checkpointed(records.mapInPandas(ask, "source_table string, record_id string, text string, noise array<string>, keys array<string>"))
+    me = ["source_table", "record_id", "text_hash"]
+    asked = asked.withColumn("text_hash", F.xxhash64("text"))
+    wanted = asked.select(*me, F.explode("keys").alias("key")).distinct()
+    answers = wanted.join(facts, "key").select(*me, F.explode("facts").alias("fact")).groupBy(*me).agg(F.collect_set("fact").alias("facts"))
+
+    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = Repair(Model({}, total))
+        for batch in batches:
+            done = []
+            for text, noise, found in zip(batch["text"], batch["noise"], batch["facts"]):
+                found = [] if found is None else found
+                words = {t: n for t in TOKEN.findall(text.lower()) if (n := common.value.get(t))}
+                words |= {f["word"]: f["n"] for f in found if not f["b"]}
+                engine.use(Model(words, total, {(f["word"], f["b"]): f["n"] for f in found if f["b"]}))
+                done.append(engine.finish(text, set(noise), compose))
+            yield pd.DataFrame({"source_table": batch["source_table"], "record_id": batch["record_id"], "paragraphs": [d[0] if compose else None for d in done], "noise": [sorted(d[1]) for d in done]})
+
+    return asked.join(answers, me, "left").select("source_table", "record_id", "text", "noise", "facts").mapInPandas(fix, _REPAIRED)
 
 
 def scan_damage(records: DataFrame) -> DataFrame:
     """(source_table, record_id, noise): each kind of damage of each record once."""
     return repaired(records, compose=False).select("source_table", "record_id", F.explode("noise").alias("noise")).distinct()
-
-

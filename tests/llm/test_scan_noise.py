@@ -1,17 +1,17 @@
+import math
+
 import pytest
 
 from conftest import rows
-from tessera.llm.scan_noise import Model, Repair, candidate_line, paragraphs, repaired, scan_damage, title_of
+from pyspark.sql import functions as F
+from tessera.llm.scan_noise import CONFUSIONS, Model, Repair, candidate_line, channel, paragraphs, repaired, scan_damage, signature, signature_column, title_of
 
 WORDS = {w: 500 for w in "thuốc bệnh thận người trong được kali máu theo dõi patients serum follow up low dose drug interstitium and carbonat natri blood acid".split()} | {"bicarbonat": 300, "in": 900, "inpatients": 40, "interstitium": 300, "clo": 90, "do": 600, "bi": 2, "ương": 1, "th": 2, "thương": 400, "tổn": 400}
 
 
 @pytest.fixture(scope="module")
 def repair():
-    model = Model(dict(WORDS), sum(WORDS.values()), {("clo", "máu"): 80, ("do", "thuốc"): 300})
-    model.ambiguous = model.suspicious()[1]
-    model.memo.clear()
-    return Repair(model)
+    return Repair(Model(dict(WORDS), sum(WORDS.values()), {("clo", "máu"): 80, ("do", "thuốc"): 300}))
 
 
 FILE = "Sổ tay lọc máu tập 6 - 2000-122.pdf"
@@ -63,3 +63,33 @@ def test_corpus(spark):
     assert rows(scan_damage(df)) == [("t", "bad", "misread"), ("t", "bad", "page_number")]
     assert {r.record_id: r.paragraphs for r in repaired(df).collect()}["bad"] == "người bệnh thận được theo dõi"
     assert scan_damage(df.limit(0)).count() == 0
+    with_joins = repaired(df, max_shared=0)
+    assert rows(with_joins.select("source_table", "record_id", "paragraphs", F.array_join("noise", ","))) == rows(repaired(df).select("source_table", "record_id", "paragraphs", F.array_join("noise", ",")))
+
+
+def test_rare_words_count_in_a_corpus_of_any_size(spark):
+    """A word that occurs four times among a million others is still what its misread form is read as."""
+    page = "người bệnh thận trong được theo dõi kali máu " * 500
+    data = [("t", str(i), None, None, page) for i in range(250)]
+    data += [("t", f"rare{i}", None, None, f"dùng {w} mỗi ngày") for i, w in enumerate(["eplerenon"] * 4 + ["ep1erenon"])] + [("t", "hy", None, None, "dùng epler-\nenon mỗi ngày"), ("t", "co", None, None, "bơm na-\nkali sang")]
+    data += [("t", f"co{i}", None, None, "bơm na-kali sang") for i in range(3)]
+    df = spark.createDataFrame(data, "source_table string, record_id string, source string, page int, text string")
+    assert rows(scan_damage(df)) == [("t", "hy", "hyphenation"), ("t", "rare4", "misread")]
+
+
+def test_neighbours_decide_at_every_step():
+    words = {"đo": 50, "clay": 40, "day": 4000, "soil": 60, "good": 900, "the": 5000}
+    engine = Repair(Model(words, 20_000, {("the", "clay"): 30, ("clay", "soil"): 30, ("good", "day"): 700, ("good", "clay"): 1}))
+    assert engine("the clay soil", None, None, ()) == ("the clay soil", set())
+    assert engine("good clay", None, None, ()) == ("good day", {"misread"})
+
+
+def test_signatures_and_the_channel(spark):
+    for read, stands, p in CONFUSIONS:
+        assert signature(f"x{read}y") == signature(f"x{stands}y")
+        assert channel(f"x{read}y", f"x{stands}y") == pytest.approx(max(math.log(q) for r, s, q in CONFUSIONS if (r, s) == (read, stands)))
+    assert channel("b0nli", "bonh") == pytest.approx(math.log(0.3 * 0.05)) and channel("1i", "h") == pytest.approx(math.log(0.3 * 0.05)) and channel("bonh", "b0nli") is None and channel("", "") == 0
+    assert channel("m" * 400, "rn" * 400) == pytest.approx(400 * math.log(0.02))
+    words = ["hmudw", "b0nli", "", "¢9!|15868$@€£", "thận"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", signature_column(F.col("w")).alias("s"))
+    assert all(r.s == signature(r.w) for r in df.collect())
