@@ -39,8 +39,10 @@ MAX_SHARED = 1_000_000
 COMMON = 50_000
 #: A word must occur this often to be what another one was misread from.
 LEAST = 3
-#: Weight of the single words' share against the counts of pairs.
-SMOOTH = 20
+#: Weight of a word's own share where its pair with the word before was never seen.
+BACKOFF = 0.4
+#: Stands for every number among words and pairs.
+NUMBER = "#"
 #: A line is a header of its source from this many occurrences on, if so large a part of them are in this source.
 LINE_MIN = 5
 LINE_OWN = 0.9
@@ -97,6 +99,11 @@ def settle(text: str, form: Consistent) -> str:
     return form(_SOFT.sub("-", text))
 
 
+def words_of(lower: str) -> list[str]:
+    """Words of a text in lower case, each number as :data:`NUMBER`."""
+    return [NUMBER if t.isdigit() else t for t in TOKEN.findall(lower)]
+
+
 def corpus_counts(records: DataFrame) -> DataFrame:
     """(kind, a, b, n): words (w, word, ''), compounds (c, compound, ''), pairs of neighbours (p, word, word), candidate lines (h, source, line).
 
@@ -125,7 +132,7 @@ def corpus_counts(records: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 lower = settle(text, form).lower()
-                tokens = TOKEN.findall(lower)
+                tokens = words_of(lower)
                 words.update(tokens)
                 if "-" in lower:
                     compounds.update(_COMPOUND.findall(lower))
@@ -236,11 +243,12 @@ class Model:
         return known
 
     def log_next(self, before: str | None, word: str, own: int, pair_own: int) -> float:
-        """Log probability of ``word`` after ``before``; ``own`` and ``pair_own`` are occurrences of the place itself, which prove nothing."""
-        share = (max(0, self.words.get(word, 0) - own) + 0.5) / self.total
-        if before is None:
-            return math.log(share)
-        return math.log((max(0, self.pairs.get((before, word), 0) - pair_own) + SMOOTH * share) / (self.words.get(before, 0) + SMOOTH))
+        """Log likelihood of ``word`` after ``before``, backing off to the word's share; ``own`` and ``pair_own`` are occurrences of
+        the place itself, which prove nothing."""
+        seen = self.pairs.get((before, word), 0) - pair_own if before is not None else 0
+        if seen > 0:
+            return math.log(seen / max(seen, self.words.get(before, 0)))
+        return math.log(BACKOFF * (max(0, self.words.get(word, 0) - own) + 0.5) / self.total)
 
     def decode(self, tokens: list[str], at: list[int]) -> dict[int, str]:
         """Viterbi over the readings of the tokens at the places ``at``; the changed places with their words.
@@ -418,7 +426,7 @@ class Repair:
         out, wrong = [], False
         for line in text.split("\n"):
             matches = list(TOKEN.finditer(line))
-            tokens = [m[0].lower() for m in matches]
+            tokens = [NUMBER if m[0].isdigit() else m[0].lower() for m in matches]
             at = [i for i, t in enumerate(tokens) if t in odd and not self.punctuated(t)]
             if at:
                 changed = self.model.decode(tokens, at)
@@ -602,7 +610,7 @@ def _with_own_counts(records: DataFrame, vocabulary: DataFrame, pairs: DataFrame
                     joined = joined[: start + len(left)] + joined[end:]
                 for version in {text, joined}:
                     for line in version.split("\n"):
-                        tokens = TOKEN.findall(line.lower())
+                        tokens = words_of(line.lower())
                         signs = [None if t in known else signature(t) for t in tokens]
                         keys.update(s for s in signs if s)
                         keys.update(f"{a or signature(t)} {b or signature(u)}" for (t, a), (u, b) in zip(zip(tokens, signs), zip(tokens[1:], signs[1:])) if a or b)
@@ -622,7 +630,7 @@ def _with_own_counts(records: DataFrame, vocabulary: DataFrame, pairs: DataFrame
             done = []
             for text, noise, found in zip(batch["text"], batch["noise"], batch["facts"]):
                 found = [] if found is None else found
-                words = {t: n for t in TOKEN.findall(text.lower()) if (n := common.value.get(t))}
+                words = {t: n for t in {NUMBER, *TOKEN.findall(text.lower())} if (n := common.value.get(t))}
                 words |= {f["word"]: f["n"] for f in found if not f["b"]}
                 engine.use(Model(words, total, {(f["word"], f["b"]): f["n"] for f in found if f["b"]}))
                 done.append(engine.finish(text, set(noise), compose))
