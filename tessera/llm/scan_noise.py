@@ -43,7 +43,10 @@ LEAST = 3
 BACKOFF = 0.4
 #: Stands for every number among words and pairs.
 NUMBER = "#"
-#: A line is a header of its source from this many occurrences on, if so large a part of them are in this source.
+#: A line is a header of its source if it recurs at this rate among the source's short lines, which lines that are alike by
+#: chance don't at any size; a longer line that begins with a header from so many occurrences on. So large a part of a
+#: header's occurrences must be in its source.
+LINE_RATE = 0.001
 LINE_MIN = 5
 LINE_OWN = 0.9
 #: Headers of up to this many rows are broadcast; beyond that they are joined by shuffling.
@@ -502,11 +505,15 @@ def scanned_records(thresholds: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def learned_headers(counts: DataFrame) -> DataFrame:
-    """(source, headers): lines that recur in one source file and hardly anywhere else."""
+    """(source, headers): lines that recur in one source file and hardly anywhere else, and those that begin with them."""
     lines = counts.where("kind = 'h'").select(F.col("a").alias("source"), F.col("b").alias("line"), "n")
     everywhere = lines.groupBy("line").agg(F.sum("n").alias("all_n"), F.max("n").alias("most")).where((F.col("most") >= LINE_MIN) & (F.col("most") >= LINE_OWN * F.col("all_n")))
-    kept = lines.join(everywhere, "line").where(F.col("n") == F.col("most"))
-    return kept.groupBy("source").agg(F.sort_array(F.collect_list("line")).alias("headers"))
+    kept = lines.join(everywhere, "line").where(F.col("n") == F.col("most")).join(lines.groupBy("source").agg(F.sum("n").alias("own_n")), "source").select("source", "line", "n", "own_n")
+    first = kept.where(F.col("n") >= LINE_RATE * F.col("own_n")).select("source", "line")
+    words = F.split("line", " ")
+    starts = kept.select("source", "line", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))).alias("start"))
+    longer = starts.join(first.select("source", F.col("line").alias("start")), ["source", "start"], "left_semi").select("source", "line")
+    return longer.distinct().groupBy("source").agg(F.sort_array(F.collect_list("line")).alias("headers"))
 
 
 def signature_column(column: Column) -> Column:
