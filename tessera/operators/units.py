@@ -1,29 +1,43 @@
 """Quantities in different units to the common unit of their quantity (problem 7).
 
-A unit's spelling is reduced to a key and, failing that, to its scale and dimensions; both are compared with the units the
-conversion table has for the quantity. A unit that stands only in the text is the one after the record's own number.
-Where none is written, the identity ``number in the common unit = number x factor`` of all numbers of a record (value,
-lower and upper bound share one unit) decides: the unit with the smallest mean log residual against the usual magnitudes
-of these columns is chosen, and marked where another one is as good. A unit that is written but unknown stays unknown.
+Units are chosen by identities: the product of some columns, each to a power and in its unit, is a constant (mass = density x
+volume). Of all combinations of the units that the columns may have the one with the smallest log residual is chosen, and
+the choice is marked where another one is as good. The identities in use:
+
+* every number of a text against the record's own numbers: the unit behind the one that leaves no residual is the record's;
+* value, lower and upper bound of a record share their unit and lie at the usual magnitude of their quantity;
+* a formula's result is the product of its variables, dimensions included.
+
+A unit that is written restricts the combinations to itself. Its spelling is reduced to a key and, failing that, to its scale
+and dimensions; both are compared with the units the conversion table has for the quantity. A unit that is written but
+unknown stays unknown.
 """
 
 from __future__ import annotations
 
+import ast
 import math
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.plain import bare, compatible
+from tessera.functions.formula import UnsafeExpression, parse
+from tessera.functions.plain import compatible
+from tessera.operators.names import resolve_names
+from tessera.session import checkpointed
 
 #: Largest conversion table that is sent to every task, in rows.
 MAX_CONVERSIONS = 100_000
 #: Residuals closer than this (a factor of 2) leave the choice open.
 OPEN = math.log(2)
+#: A formula whose constant is further off than this (a factor of 3) says nothing about units.
+FAR = math.log(3)
 #: Other spellings of units, of their parts and of the marks between them.
 WHOLE = {"phần trăm": "%", "pct": "%", "percent": "%", "mm": "mmol/l", "um": "umol/l", "nm": "nmol/l", "pm": "pmol/l", "ratio": "tỷ số", "tỉ số": "tỷ số", "tỷ lệ": "tỷ số", "tỉ lệ": "tỷ số"}
 PARTS = (
@@ -35,9 +49,13 @@ PARTS = (
 PREFIXES = {"p": 1e-12, "n": 1e-9, "u": 1e-6, "m": 1e-3, "c": 1e-2, "d": 1e-1, "": 1.0, "k": 1e3}
 #: Base units with (dimension, scale).
 BASES = {"g": ("mass", 1.0), "l": ("volume", 1.0), "mol": ("amount", 1.0), "eq": ("charge", 1.0), "osm": ("osmoles", 1.0), "pa": ("pressure", 1.0), "h": ("time", 3600.0), "s": ("time", 1.0), "ph": ("time", 60.0), "lb": ("pounds", 1.0), "mhg": ("mercury", 1.0), "%": ("percent", 1.0)}
-_NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,]\d+)?(?![\d])")
+_NUMBER = re.compile(r"(?<![\w.,])\d+(?:[.,]\d+)*(?!\d)")
+#: Characters in the longest spelling of a unit.
+LONGEST = 64
 _BEFORE_LIMIT = re.compile(r"(?:[<>=≤≥]|đến|to|-|–|và|and|từ)\s*$")
-_PAGE_MATTER = re.compile(r"^[^\S\n]*\n[^\n]*\n")
+#: A remark in brackets, or lines that are no part of a sentence (headers and page numbers).
+_BETWEEN = re.compile(r"\s*\([^()\n]*\)|[^\S\n]*\n(?:[^\n.,;:!?]{0,80}\n)+")
+_UNIT_IS = re.compile(r"(?:đơn vị(?: đo| tính| đầu ra)?(?: là|:)?|units?(?: is|:| of)?)\s+", re.I)
 _STATED = re.compile(r"(?:tính bằng|đơn vị(?: đầu ra)?(?: là|:)?|expressed in|units? (?:is|of|are)|in units of|bằng|là|in)\s+", re.I)
 
 
@@ -77,6 +95,79 @@ def dimensions(key: str) -> tuple[float, tuple[str, ...]] | None:
     return scale, (dims[0], *sorted(dims[1:]))
 
 
+def readings(number: str) -> list[float]:
+    """What a printed number may mean: a mark before the last digits is a decimal one or, between groups of three, none."""
+    parts = re.split("[.,]", number)
+    grouped = 0 < len(parts[0]) <= 3 and parts[0][0] != "0"
+    found = []
+    marks = [c for c in number if c in ".,"]
+    if len(parts) <= 2 or (grouped and all(len(p) == 3 for p in parts[1:-1]) and marks[-1] not in marks[:-1]):
+        found.append(float("".join(parts[:-1]) + "." + parts[-1]) if len(parts) > 1 else float(number))
+    if len(parts) > 1 and grouped and all(len(p) == 3 for p in parts[1:]):
+        found.append(float("".join(parts)))
+    return found
+
+
+@dataclass(frozen=True)
+class Identity:
+    """The product of columns to their ``powers`` is ``exp(log_constant)`` in base units."""
+
+    powers: Mapping[str, float]
+    log_constant: float = 0.0
+
+
+def choose_units(numbers: Mapping[str, float], units: Mapping[str, Sequence[tuple[str, float]]], identities: Sequence[Identity], shared: Sequence[Sequence[str]] = ()) -> tuple[dict[str, str] | None, float, bool]:
+    """(unit of each column, mean log residual, unique) of the combination of units that fulfils the identities best.
+
+    ``numbers`` are positive; ``units`` has the (unit, factor to the base unit) that each column may have, the preferred one
+    first; columns of one group of ``shared`` have the same unit. Identities with a column that has no number count for
+    nothing; without any there is no choice. ``unique`` is false where another combination is within a factor of two.
+    """
+    usable = [i for i in identities if all(c in numbers and units.get(c) for c in i.powers)]
+    columns = sorted({c for i in usable for c in i.powers})
+    if not usable:
+        return None, math.nan, False
+    groups = [[c for c in g if c in columns] for g in shared]
+    groups = [g for g in groups if g] + [[c] for c in columns if not any(c in g for g in groups)]
+    rated = []
+    for order, picks in enumerate(product(*(range(len(units[g[0]])) for g in groups))):
+        chosen = {c: units[c][k] for g, k in zip(groups, picks) for c in g}
+        residual = sum(abs(sum(p * math.log(numbers[c] * chosen[c][1]) for c, p in i.powers.items()) - i.log_constant) for i in usable) / len(usable)
+        rated.append((residual, order, {c: u for c, (u, _) in chosen.items()}))
+    rated.sort(key=lambda x: x[:2])
+    return rated[0][2], rated[0][0], len(rated) == 1 or rated[1][0] - rated[0][0] > OPEN
+
+
+def monomial(expression: str) -> tuple[float, dict[str, float]] | None:
+    """(log of the constant, powers of the variables) of an expression that is a product of powers, else None."""
+
+    def walk(node: ast.expr) -> tuple[float, dict[str, float]] | None:
+        if isinstance(node, ast.Constant):
+            return (math.log(node.value), {}) if node.value > 0 else None
+        if isinstance(node, ast.Name):
+            return 0.0, {node.id: 1.0}
+        if not isinstance(node, ast.BinOp) or not isinstance(node.op, (ast.Mult, ast.Div, ast.Pow)):
+            return None
+        left, right = walk(node.left), walk(node.right)
+        if left is None or right is None:
+            return None
+        if isinstance(node.op, ast.Pow):
+            if right[1]:
+                return None
+            power = math.exp(right[0])
+            return left[0] * power, {n: p * power for n, p in left[1].items()}
+        sign = 1 if isinstance(node.op, ast.Mult) else -1
+        powers = dict(left[1])
+        for name, p in right[1].items():
+            powers[name] = powers.get(name, 0.0) + sign * p
+        return left[0] + sign * right[0], powers
+
+    try:
+        return walk(parse(expression))
+    except UnsafeExpression:
+        return None
+
+
 class Converter:
     """Looks units up among those of a quantity. ``rows``: (quantity, from_unit, common_unit, factor)."""
 
@@ -109,36 +200,49 @@ class Converter:
         self.memo[quantity, spelling] = unit
         return unit
 
-    def unit_at(self, quantity: str, rest: str) -> str | None:
-        """The unit with which ``rest`` begins; the longest spelling counts."""
-        for _ in range(3):
-            line = rest[:32].lstrip(" \t\r\xa0")
-            for end in range(len(line), 0, -1):
-                if end < len(line) and line[end - 1].isalnum() and line[end].isalnum():
-                    continue
-                if line[end - 1].isspace() or line[end - 1] in ".,;:)":
-                    continue
-                unit = self.keys.get(quantity, {}).get(unit_key(line[:end]))
-                if unit is not None:
-                    return unit
-            shorter = _PAGE_MATTER.sub("", rest, count=1)
-            if shorter == rest:
-                return None
-            rest = shorter
+    def unit_here(self, quantity: str, text: str, start: int) -> str | None:
+        """The unit that is spelled at ``start``; the longest spelling counts."""
+        while start < len(text) and text[start] in " \t\r\xa0":
+            start += 1
+        for end in range(min(len(text), start + LONGEST), start, -1):
+            if end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+                continue
+            if text[end - 1].isspace() or text[end - 1] in ".,;:)":
+                continue
+            unit = self.keys.get(quantity, {}).get(unit_key(text[start:end]))
+            if unit is not None:
+                return unit
         return None
 
+    def unit_at(self, quantity: str, text: str, start: int) -> str | None:
+        """The unit at ``start`` or after remarks and page matter that stand there, however long they are."""
+        unit = self.unit_here(quantity, text, start)
+        while unit is None and (between := _BETWEEN.match(text, start)):
+            start = between.end()
+            unit = self.unit_here(quantity, text, start)
+        return unit
+
     def unit_in_text(self, quantity: str, text: str, values: tuple[float | None, ...]) -> str | None:
-        """The unit after the record's own number in its text; numbers after a comparison sign or a range come first."""
+        """The unit of the record in its text, whole texts.
+
+        Every number of the text is a reading of the record's numbers; the identity of both leaves a log residual of zero for
+        the record's own ones. Of those with a unit, numbers after a comparison sign or a range come first; where none has a
+        unit, the one that the text states counts.
+        """
         text = compatible(text).lower()
         wanted = [v for v in values if v is not None and v == v]
         places = []
         for m in _NUMBER.finditer(text):
-            value = float(m[0].replace(",", "."))
-            rank = next((i for i, v in enumerate(wanted) if math.isclose(v, value, rel_tol=1e-9)), None)
+            read = readings(m[0])
+            rank = next((i for i, v in enumerate(wanted) if any(math.isclose(v, r, rel_tol=1e-9) for r in read)), None)
             if rank is not None:
                 places.append((not _BEFORE_LIMIT.search(text[max(0, m.start() - 8) : m.start()]), rank, m.end()))
         for _, _, end in sorted(places):
-            unit = self.unit_at(quantity, text[end : end + 200])
+            unit = self.unit_at(quantity, text, end)
+            if unit is not None:
+                return unit
+        for m in _UNIT_IS.finditer(text):
+            unit = self.unit_here(quantity, text, m.end())
             if unit is not None:
                 return unit
         return None
@@ -147,7 +251,7 @@ class Converter:
         """The unit that a sentence states for a result."""
         text = compatible(text).lower()
         for m in reversed(list(_STATED.finditer(text))):
-            unit = self.unit_at(quantity, text[m.end() :])
+            unit = self.unit_at(quantity, text, m.end())
             if unit is not None:
                 return unit
         return None
@@ -158,16 +262,48 @@ class Converter:
         A column without a usual magnitude of its own is compared with the mean of the quantity's others.
         """
         there = [u for u in usual if u == u]
-        if not there:
+        positive = {str(i): n for i, n in enumerate(numbers) if n is not None and n > 0}
+        if not there or not positive:
             return None, math.nan, False
         other = sum(there) / len(there)
-        pairs = [(n, u if u == u else other) for n, u in zip(numbers, usual) if n is not None and n > 0]
-        rated = sorted(
-            (sum(abs(math.log(n * self.factor[quantity, unit]) - u) for n, u in pairs) / max(1, len(pairs)), unit != self.common[quantity], unit) for unit in self.keys.get(quantity, {}).values()
-        )
-        if not rated or not pairs:
+        common = self.common.get(quantity)
+        units = sorted(((u, self.factor[quantity, u]) for u in self.keys.get(quantity, {}).values()), key=lambda x: (x[0] != common, x[0]))
+        identities = [Identity({c: 1.0}, usual[int(c)] if usual[int(c)] == usual[int(c)] else other) for c in positive]
+        chosen, residual, unique = choose_units(positive, {c: units for c in positive}, identities, [list(positive)])
+        return (next(iter(chosen.values())) if chosen else None), residual, unique
+
+    def result_unit(self, quantity: str, expression: str | None, variables: Mapping[str, str]) -> tuple[str | None, float, bool]:
+        """(unit, log residual, unique) of a formula's result from the units of its variables.
+
+        The expression must be a product of powers of variables with known dimensions; units of other dimensions than the
+        product's are no choice, nor is one that the formula's constant is further than :data:`FAR` from.
+        """
+        form = monomial(expression) if expression else None
+        known = {n: dimensions(unit_key(u)) for n, u in variables.items() if u}
+        if form is None or not form[1] or any(known.get(n) is None for n in form[1]):
             return None, math.nan, False
-        return rated[0][2], rated[0][0], len(rated) == 1 or rated[1][0] - rated[0][0] > OPEN
+        dims = exponents((known[n][1], p) for n, p in form[1].items())
+        units = []
+        for unit in sorted(self.keys.get(quantity, {}).values(), key=lambda u: (u != self.common[quantity], u)):
+            size = dimensions(unit_key(unit))
+            if size and exponents([(size[1], 1.0)]) == dims:
+                units.append((unit, size[0]))
+        if not units:
+            return None, math.nan, False
+        numbers = dict.fromkeys([*form[1], ""], 1.0) | {"": math.exp(form[0])}
+        candidates = {n: [(variables[n], known[n][0])] for n in form[1]} | {"": units}
+        chosen, residual, unique = choose_units(numbers, candidates, [Identity(form[1] | {"": -1.0})])
+        return (chosen[""], residual, unique) if chosen and residual <= FAR else (None, residual, False)
+
+
+def exponents(parts: Iterable[tuple[Sequence[str], float]]) -> dict[str, float]:
+    """Dimension exponents of a product of units to powers."""
+    total: dict[str, float] = {}
+    for dims, power in parts:
+        for dim in dims:
+            name, sign = dim.lstrip("/"), -1.0 if dim.startswith("/") else 1.0
+            total[name] = total.get(name, 0.0) + sign * power
+    return {n: round(p, 9) for n, p in total.items() if abs(p) > 1e-9}
 
 
 def conversion_rows(conversions: DataFrame) -> list[tuple[str, str, str, float]]:
@@ -177,20 +313,6 @@ def conversion_rows(conversions: DataFrame) -> list[tuple[str, str, str, float]]
     return [tuple(r) for r in rows]
 
 
-def exact_names(names: DataFrame, reference: DataFrame) -> DataFrame:
-    """(name, biomarker) by equality of folded names and aliases. The plain resolver; a fuzzy one may be given instead."""
-    keys = reference.select("biomarker", F.explode(F.concat(F.array("biomarker", "name_vi", "name_en"), F.coalesce("aliases", F.array()))).alias("alias"))
-
-    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["key"] = [re.sub(r"[\W_]+", " ", bare(compatible(x))).strip() for x in batch.iloc[:, 0]]
-            yield batch
-
-    distinct = names.select("name").where("name is not null").distinct().mapInPandas(key, "name string, key string")
-    known = keys.where("alias is not null").select("alias", "biomarker").mapInPandas(key, "alias string, biomarker string, key string").groupBy("key").agg(F.min("biomarker").alias("biomarker"))
-    return distinct.join(known, "key", "left").select("name", F.coalesce("biomarker", F.lit("unmatched")).alias("biomarker"))
-
-
 Resolver = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -228,7 +350,7 @@ def with_units(records: DataFrame, conversions: DataFrame, stated: bool = False)
     return known.select("record_id", "quantity", "unit", "text", "value", "low", "high").mapInPandas(find, schema)
 
 
-def threshold_records(thresholds: DataFrame, reference: DataFrame, resolve: Resolver = exact_names) -> DataFrame:
+def threshold_records(thresholds: DataFrame, reference: DataFrame, resolve: Resolver = resolve_names) -> DataFrame:
     """Records of :func:`with_units` of thresholds; the quantity is the entry of the typed name, once per distinct name."""
     names = resolve(thresholds.select(F.col("biomarker").alias("name")), reference).withColumnRenamed("biomarker", "quantity")
     rows = thresholds.select(
@@ -247,7 +369,7 @@ def formula_records(formulas: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def other_units(thresholds: DataFrame, formulas: DataFrame, reference: DataFrame, conversions: DataFrame, resolve: Resolver = exact_names) -> DataFrame:
+def other_units(thresholds: DataFrame, formulas: DataFrame, reference: DataFrame, conversions: DataFrame, resolve: Resolver = resolve_names) -> DataFrame:
     """(source_table, record_id, from_unit) of the records whose unit is written and isn't the common one."""
     found = with_units(threshold_records(thresholds, reference, resolve), conversions).withColumn("source_table", F.lit("thresholds_extra"))
     found = found.unionByName(with_units(formula_records(formulas), conversions, stated=True).withColumn("source_table", F.lit("formulas")))
@@ -259,7 +381,7 @@ def other_units(thresholds: DataFrame, formulas: DataFrame, reference: DataFrame
 NUMBERS = ("value", "low", "high")
 
 
-def converted(thresholds: DataFrame, reference: DataFrame, conversions: DataFrame, resolve: Resolver = exact_names) -> DataFrame:
+def converted(thresholds: DataFrame, reference: DataFrame, conversions: DataFrame, resolve: Resolver = resolve_names) -> DataFrame:
     """(row_id, quantity, common_unit, from_unit, unit_source, value, low, high, residual, unique_unit) of every threshold of a known quantity.
 
     Values are in the common unit. Where neither the column nor the text has a unit it is inferred (``unit_source`` is
@@ -269,8 +391,6 @@ def converted(thresholds: DataFrame, reference: DataFrame, conversions: DataFram
     over the record's numbers; ``unique_unit`` is false where another unit explains them nearly as well.
     """
     rows = conversion_rows(conversions)
-    from tessera.session import checkpointed
-
     found = checkpointed(with_units(threshold_records(thresholds, reference, resolve), conversions))
     factors = conversions.select("quantity", "from_unit", "common_unit", "factor")
     known = found.join(F.broadcast(factors), ["quantity", "from_unit"])
@@ -298,13 +418,47 @@ def converted(thresholds: DataFrame, reference: DataFrame, conversions: DataFram
 
 
 def formula_units(formulas: DataFrame, conversions: DataFrame) -> DataFrame:
-    """(formula_id, quantity, common_unit, from_unit, unit_source, factor) of every formula whose result the table has.
+    """(formula_id, quantity, common_unit, from_unit, unit_source, factor, residual, unique_unit) of every formula whose result the table has.
 
-    A result times ``factor`` is in the common unit. Formulas have no numbers of their own: where no unit is written, or
-    one that the quantity doesn't have, unit and factor are null.
+    A result times ``factor`` is in the common unit. Where neither the column nor the text has a unit it is inferred
+    (``unit_source`` is ``inferred``) from the expression and the units of its variables; where they don't tell, and where
+    a unit is written that the quantity doesn't have, unit and factor are null. Null variables and null names are left out.
     """
+    rows = conversion_rows(conversions)
     found = with_units(formula_records(formulas), conversions, stated=True)
+    named = F.filter("variables", lambda v: v["name"].isNotNull() & v["unit"].isNotNull())
+    bodies = formulas.select(F.col("formula_id").alias("record_id"), "expression", F.transform(named, lambda v: F.struct(v["name"].alias("name"), v["unit"].alias("unit"))).alias("variables"))
+    bodies = bodies.groupBy("record_id").agg(F.max(F.struct("expression", "variables")).alias("body")).select("record_id", "body.*")
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = Converter(rows)
+        for batch in batches:
+            picks = []
+            for unit, written, quantity, expression, variables in zip(batch["from_unit"], batch["written"], batch["quantity"], batch["expression"], batch["variables"]):
+                if unit is not None or written:
+                    picks.append((unit, 0.0 if unit is not None else math.nan, unit is not None))
+                else:
+                    picks.append(table.result_unit(quantity, expression, {v["name"]: v["unit"] for v in (() if variables is None else variables)}))
+            batch["unit_source"] = [s if s is not None else ("inferred" if p[0] is not None else None) for s, p in zip(batch["unit_source"], picks)]
+            batch["from_unit"] = [p[0] for p in picks]
+            batch["residual"] = [p[1] if p[1] == p[1] else None for p in picks]
+            batch["unique_unit"] = [p[2] for p in picks]
+            yield batch[["record_id", "quantity", "from_unit", "unit_source", "residual", "unique_unit"]]
+
+    chosen = found.join(bodies, "record_id", "left").select("record_id", "quantity", "from_unit", "unit_source", "written", "expression", "variables")
+    chosen = chosen.mapInPandas(choose, "record_id string, quantity string, from_unit string, unit_source string, residual double, unique_unit boolean")
     common = F.broadcast(conversions.select("quantity", "common_unit").distinct())
     factors = F.broadcast(conversions.select("quantity", "from_unit", "factor"))
-    named = found.join(common, "quantity").join(factors, ["quantity", "from_unit"], "left")
-    return named.select(F.col("record_id").alias("formula_id"), "quantity", "common_unit", "from_unit", "unit_source", "factor")
+    named = chosen.join(common, "quantity").join(factors, ["quantity", "from_unit"], "left")
+    return named.select(F.col("record_id").alias("formula_id"), "quantity", "common_unit", "from_unit", "unit_source", "factor", "residual", "unique_unit")
+
+
+def all_converted(thresholds: DataFrame, formulas: DataFrame, reference: DataFrame, conversions: DataFrame, resolve: Resolver = resolve_names) -> DataFrame:
+    """(source_table, record_id, quantity, common_unit, from_unit, unit_source, value, low, high, factor, residual, unique_unit): thresholds
+    of :func:`converted` with their numbers, formulas of :func:`formula_units` with the factor for their results."""
+    factors = F.broadcast(conversions.select("quantity", "from_unit", "factor"))
+    first = converted(thresholds, reference, conversions, resolve).join(factors, ["quantity", "from_unit"], "left").withColumn("source_table", F.lit("thresholds_extra")).withColumn("record_id", F.col("row_id").cast("string"))
+    nothing = F.lit(None).cast("double")
+    second = formula_units(formulas, conversions).withColumns({"source_table": F.lit("formulas"), "record_id": F.col("formula_id"), "value": nothing, "low": nothing, "high": nothing})
+    columns = ["source_table", "record_id", "quantity", "common_unit", "from_unit", "unit_source", "value", "low", "high", "factor", "residual", "unique_unit"]
+    return first.select(columns).unionByName(second.select(columns))

@@ -8,14 +8,14 @@ from tessera.operators import units
 from tessera.session import table
 
 
-def p7_found(spark: SparkSession, folder: str, resolve: units.Resolver = units.exact_names) -> DataFrame:
+def p7_found(spark: SparkSession, folder: str, resolve: units.Resolver = units.resolve_names) -> DataFrame:
     tables = (table(spark, folder, t) for t in ("thresholds_extra", "formulas", "biomarker_reference", "unit_conversions"))
     return units.other_units(*tables, resolve)
 
 
-def p7_converted(spark: SparkSession, folder: str, resolve: units.Resolver = units.exact_names) -> DataFrame:
-    """Threshold values in the common unit of their quantity."""
-    return units.converted(*(table(spark, folder, t) for t in ("thresholds_extra", "biomarker_reference", "unit_conversions")), resolve)
+def p7_converted(spark: SparkSession, folder: str, resolve: units.Resolver = units.resolve_names) -> DataFrame:
+    """Threshold values in the common unit of their quantity, and the factors of formula results."""
+    return units.all_converted(*(table(spark, folder, t) for t in ("thresholds_extra", "formulas", "biomarker_reference", "unit_conversions")), resolve)
 
 
 def p7_formulas(spark: SparkSession, folder: str) -> DataFrame:

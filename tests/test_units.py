@@ -3,14 +3,14 @@ import math
 import pytest
 
 from conftest import rows
-from tessera.operators.units import Converter, converted, dimensions, formula_units, other_units, unit_key
+from tessera.operators.units import Converter, Identity, all_converted, choose_units, converted, dimensions, formula_units, other_units, readings, unit_key
 
 CONVERSIONS = [
     ("creatinine", "μmol/L", "μmol/L", 1.0), ("creatinine", "mg/dL", "μmol/L", 88.4), ("GFR", "ml/ph/1.73m2", "ml/ph/1.73m2", 1.0), ("GFR", "ml/s/1.73m2", "ml/ph/1.73m2", 60.0),
     ("protein_niệu_24h", "g/24h", "g/24h", 1.0), ("protein_niệu_24h", "mg/24h", "g/24h", 0.001), ("fena_percent", "%", "%", 1.0), ("fena_percent", "tỷ số", "%", 100.0),
 ]
 THRESHOLDS = "row_id long, biomarker string, threshold_unit string, source_text string, threshold_value double, threshold_value_min double, threshold_value_max double, quantity string, factor int"
-FORMULAS = "formula_id string, output_name string, output_unit string, source_text string"
+FORMULAS = "formula_id string, output_name string, output_unit string, source_text string, expression string, variables array<struct<name string, unit string>>"
 REFERENCE = "biomarker_id int, biomarker string, name_vi string, name_en string, aliases array<string>"
 
 
@@ -34,7 +34,8 @@ def test_dimensions_agree_across_spellings():
     ("≥ 336\nTrang 464\nμmol/L", (336.0,), "μmol/L"),
     ("ｃｒｅａｔｉｎｉｎ ＜ ４．６７ ｍｇ ／ ｄＬ", (4.67,), "mg/dL"),
     ("creatinin máu <1.33. Khảo sát", (1.33,), None),
-    ("nothing", (2.0,), None),
+    ("nothing", (2.0,), None), ("creatinin > 1,234.5 µmol/L", (1234.5,), "μmol/L"), ("creatinin > 1.234,5 µmol/L", (1234.5,), "μmol/L"), ("trên 120 (đo bằng máy, hai lần trong cùng một buổi sáng) µmol/L", (120.0,), "μmol/L"),
+    ("Đơn vị là µmol/L. Creatinin tăng khi > 120", (120.0,), "μmol/L"), ("≥ 336\nTrang 464\nSỔ TAY\n- 3 -\nPHẦN II\nμmol/L", (336.0,), "μmol/L"), ("ure đơn vị là g/L, creatinin > 120", (120.0,), None),
 ])
 def test_units_in_texts(text, values, unit):
     assert Converter(CONVERSIONS).unit_in_text("creatinine", text, values) == unit
@@ -43,7 +44,7 @@ def test_units_in_texts(text, values, unit):
 def frames(spark, thresholds, formulas):
     reference = spark.createDataFrame([(1, "creatinine", "creatinin máu", "serum creatinine", ["SCr"]), (2, "GFR", None, None, None)], REFERENCE)
     conversions = spark.createDataFrame(CONVERSIONS, "quantity string, from_unit string, common_unit string, factor double")
-    return spark.createDataFrame(thresholds, THRESHOLDS), spark.createDataFrame(formulas, FORMULAS), reference, conversions
+    return spark.createDataFrame(thresholds, THRESHOLDS), spark.createDataFrame([(*f, None, None)[:6] for f in formulas], FORMULAS), reference, conversions
 
 
 def test_records_in_other_units(spark):
@@ -86,4 +87,41 @@ def test_inference_uses_all_numbers_and_only_where_nothing_is_written(spark):
 def test_formulas_get_common_unit_and_factor(spark):
     formulas = [("f1", "fena_percent", None, "FENa = a / b, kết quả tính bằng tỷ số."), ("f2", "fena_percent", "pct", None), ("f3", "fena_percent", "kPa", None), ("f4", "other", "%", None)]
     _, f, _, c = frames(spark, [], formulas)
-    assert rows(formula_units(f, c)) == [("f1", "fena_percent", "%", "tỷ số", "text", 100.0), ("f2", "fena_percent", "%", "%", "column", 1.0), ("f3", "fena_percent", "%", None, None, None)]
+    got = rows(formula_units(f, c).drop("residual"))
+    assert got == [("f1", "fena_percent", "%", "tỷ số", "text", 100.0, True), ("f2", "fena_percent", "%", "%", "column", 1.0, True), ("f3", "fena_percent", "%", None, None, None, False)]
+
+
+def test_units_of_results_by_the_identity_of_the_formula(spark):
+    flow = [("p", "mg/L"), ("v", "ml/24h"), None, (None, "g/L"), ("x", None)]
+    formulas = [
+        ("mg", "protein_niệu_24h", None, None, "p * v / 1000", flow), ("g", "protein_niệu_24h", None, None, "p * v / 1000000", flow), ("g2", "protein_niệu_24h", None, "", "p * v * 0.001", [("p", "g/L"), ("v", "ml/24h")]),
+        ("far", "protein_niệu_24h", None, None, "p * v / 31000", flow), ("sum", "protein_niệu_24h", None, None, "p + v", flow), ("dim", "protein_niệu_24h", None, None, "p * 2", flow), ("odd", "protein_niệu_24h", None, None, "p * (", flow),
+        ("none", "protein_niệu_24h", None, None, None, None), ("kept", "protein_niệu_24h", "g/24 giờ", None, "p * v / 1000", flow), ("no", "protein_niệu_24h", "kPa", None, "p * v / 1000", flow),
+    ]
+    _, f, _, c = frames(spark, [], formulas)
+    got = {r.formula_id: (r.from_unit, r.unit_source, r.unique_unit) for r in formula_units(f, c).collect()}
+    assert got == {
+        "mg": ("mg/24h", "inferred", True), "g": ("g/24h", "inferred", True), "g2": ("g/24h", "inferred", True), "far": (None, None, False), "sum": (None, None, False), "dim": (None, None, False), "odd": (None, None, False),
+        "none": (None, None, False), "kept": ("g/24h", "column", True), "no": (None, None, False),
+    }
+
+
+def test_identity_of_mass_density_and_volume():
+    units = {"mass": [("g", 1.0), ("kg", 1000.0)], "density": [("g/ml", 1.0), ("mg/ml", 0.001)], "volume": [("ml", 1.0), ("l", 1000.0)]}
+    law = [Identity({"mass": 1.0, "density": -1.0, "volume": -1.0})]
+    assert choose_units({"mass": 3.0, "density": 1.5, "volume": 2.0}, {k: v[:1] for k, v in units.items()}, law) == ({"mass": "g", "density": "g/ml", "volume": "ml"}, pytest.approx(0), True)
+    chosen, residual, unique = choose_units({"mass": 3.0, "density": 1.5, "volume": 2.0}, units, law)
+    assert residual == pytest.approx(0) and not unique and chosen["mass"] == "g"  # kg with l fulfils it too
+    assert choose_units({"mass": 3.0, "density": 1500.0, "volume": 2.0}, {**units, "mass": units["mass"][:1]}, law)[0] == {"mass": "g", "density": "mg/ml", "volume": "ml"}
+    assert choose_units({"mass": 3.0}, units, law)[0] is None and choose_units({}, {}, []) == (None, pytest.approx(float("nan"), nan_ok=True), False)
+
+
+@pytest.mark.parametrize("number, found", [("1,234.5", [1234.5]), ("12.345", [12.345, 12345.0]), ("0.123", [0.123]), ("7", [7.0]), ("1.2.3", []), ("1,234,567", [1234567.0])])
+def test_printed_numbers(number, found):
+    assert readings(number) == found
+
+
+def test_everything_converted(spark):
+    t, f, r, c = frames(spark, [(21, "Creatinin mau", "mg/dL", "", 2.0, 1.0, None, None, None)], [("f2", "fena_percent", "ratio", None)])
+    got = rows(all_converted(t, f, r, c).select("source_table", "record_id", "from_unit", "value", "factor"))
+    assert got == [("formulas", "f2", "tỷ số", None, 100.0), ("thresholds_extra", "21", "mg/dL", pytest.approx(176.8), 88.4)]
