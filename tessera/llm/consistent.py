@@ -191,14 +191,15 @@ class Consistent:
 
 #: Characters that every consistent form may have: ASCII, composed Latin letters, and symbols that stand for themselves.
 _PLAIN = (
-    r"\x00-\x7F\x{A1}-\x{A7}\x{A9}\x{AB}\x{AC}\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}"
-    r"\x{1A0}\x{1A1}\x{1AF}\x{1B0}\x{1EA0}-\x{1EF9}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{201F}\x{2020}-\x{2022}\x{20AC}\x{2190}-\x{21FF}\x{2264}\x{2265}\x{25A0}-\x{25FF}αβγδμπΔΩ"
+    "\x00-\x7f\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0130\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+    "\u01a0\u01a1\u01af\u01b0\u1ea0-\u1ef9\u2010\u2012-\u2016\u2018-\u201f\u2020-\u2022\u20ac\u2190-\u21ff\u2264\u2265\u25a0-\u25ffαβγδμπΔΩ"
 )
+_CHANGES = re.compile(f"[^{_PLAIN}]")
 
 
 def may_change(text: Column) -> Column:
     """False only for texts that are surely in their consistent form; decided in the scan's stage."""
-    return text.rlike(f"[^{_PLAIN}]|[ıɑɡ]")
+    return text.rlike(f"[^{_PLAIN}]")
 
 
 def corpus_words(values: DataFrame) -> DataFrame:
@@ -223,8 +224,8 @@ def corpus_words(values: DataFrame) -> DataFrame:
             others.clear()
 
         for batch in batches:
-            for text, plain in zip(batch["text"], batch["plain"]):
-                if plain:
+            for text in batch["text"]:
+                if text.isascii() or not _CHANGES.search(text):
                     words.update(_WORD.findall(text.lower()))
                     continue
                 spread, tokens, genuine = form.tokens(text)
@@ -238,7 +239,7 @@ def corpus_words(values: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    parts = values.select("text", (~may_change(F.col("text"))).alias("plain")).mapInPandas(count, "word string, skeleton string, doubt boolean, genuine boolean, n long")
+    parts = values.select("text").mapInPandas(count, "word string, skeleton string, doubt boolean, genuine boolean, n long")
     return parts.groupBy("word", "skeleton", "doubt", "genuine").agg(F.sum("n").alias("n"))
 
 
