@@ -1,12 +1,13 @@
 """Texts into containers of fixed capacity (problem 9).
 
-The driver sees only histograms: dynamic programming over the global histogram of sizes places the bucket boundaries where
-they waste least, token-budget batches are formed of each bucket, and what a batch leaves free is given to the largest
-bucket that fits. The resulting plan is a short list of intervals of ranks; every executor looks its items up in it.
+The driver sees only the histogram of sizes. Dynamic programming over it places the bucket boundaries where padding is least;
+token-budget batches are formed inside each bucket, and a second stage gives what a batch leaves free to the largest sizes
+of other buckets that fit. The resulting plan is a list of intervals of ranks per size; every executor looks its items up in it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,9 +19,8 @@ from tessera.session import checkpointed
 
 CAPACITY = 2048
 BUCKETS = 64
-#: Items that one ranked group should hold; hot sizes are spread over as many groups as that takes.
+#: Items that one ranked group should hold; a hot size is spread over as many groups as that takes.
 GROUP = 500_000
-MAX_GROUPS = 4096
 
 
 def optimal_boundaries(counts: Sequence[int], buckets: int) -> list[int]:
@@ -58,36 +58,50 @@ def optimal_boundaries(counts: Sequence[int], buckets: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Interval:
-    """Items ``start`` up to ``end`` of a bucket, ``each`` of them to a container, from container ``base`` on."""
+    """Items ``start`` up to ``end`` of a size, ``each`` of them to a container, from container ``base`` on."""
 
-    bucket: int
+    size: int
     start: int
     end: int
     base: int
     each: int
 
 
-def batches(boundaries: Sequence[int], counts: Sequence[int], capacity: int) -> tuple[list[Interval], int]:
-    """(intervals, number of containers). Containers are made alike in runs, so the plan has few intervals.
+def batches(counts: Sequence[int], boundaries: Sequence[int], capacity: int) -> tuple[list[Interval], int]:
+    """(intervals, number of containers) for ``counts[i]`` items of size i+1 in buckets up to ``boundaries``.
 
-    The largest bucket left opens a run of containers with as many of its items as fit; the room left takes the largest
-    bucket that still fits, and so on. A run ends when one of its buckets has too few items for another container.
+    The largest size left opens a run of containers that are made alike. A container takes sizes of the same bucket as long
+    as they fit, largest first (the batch), then sizes of all other buckets (the filling). The run ends when one of its sizes
+    has too few items for another container, so the plan has a few intervals per size.
     """
-    left, done, base, plan = list(counts), [0] * len(counts), 0, []
-    for top in range(len(boundaries) - 1, -1, -1):
-        while left[top]:
-            room, pattern = capacity, []
-            for k in range(top, -1, -1):
-                each = min(room // boundaries[k], left[k])
+    left, done, base, plan = {i + 1: int(c) for i, c in enumerate(counts) if c}, dict.fromkeys(range(1, len(counts) + 1), 0), 0, []
+    below = {end: start + 1 for start, end in zip([0, *boundaries], boundaries)}
+    order = sorted(left, reverse=True)
+    while order:
+        top = order[0]
+        floor = below[boundaries[bisect_left(boundaries, top)]]
+        room, pattern = capacity, {}
+        for own in (True, False):
+            at = 0
+            while room and at < len(order):
+                if order[at] > room:  # the first size that fits; sizes descend
+                    at = bisect_left(order, -room, lo=at, key=lambda x: -x)
+                    continue
+                size = order[at]
+                if own and size < floor:
+                    break
+                each = min(room // size, left[size] - pattern.get(size, 0))
                 if each:
-                    pattern.append((k, each))
-                    room -= each * boundaries[k]
-            times = min(left[k] // each for k, each in pattern)
-            for k, each in pattern:
-                plan.append(Interval(k, done[k], done[k] + each * times, base, each))
-                done[k] += each * times
-                left[k] -= each * times
-            base += times
+                    pattern[size] = pattern.get(size, 0) + each
+                    room -= each * size
+                at += 1
+        times = min(left[size] // each for size, each in pattern.items())
+        for size, each in pattern.items():
+            plan.append(Interval(size, done[size], done[size] + each * times, base, each))
+            done[size] += each * times
+            left[size] -= each * times
+        base += times
+        order = [size for size in order if left[size]]
     return plan, base
 
 
@@ -96,8 +110,8 @@ def pack(sizes: DataFrame, id_column: str = "doc_id", size_column: str = "tokens
 
     Pieces of a too large item are full but for the last. Containers are numbered from 0; no container exceeds the
     capacity. Items without tokens (null and empty texts) take no room: their container is null. Repeated rows are items
-    of their own. The sizes are written once, being read three times; beyond the histograms (one row per size, one per
-    bucket and group) nothing is collected, and the ranks of a hot bucket are taken in groups of bounded size.
+    of their own. The sizes are written once, being read three times; beyond the histograms (one row per size and per
+    :data:`GROUP` items of a size) nothing is collected, and a hot size is ranked in groups of bounded size.
     """
     spark = sizes.sparkSession
     size = F.coalesce(F.col(f"`{size_column}`").cast("long"), F.lit(0))
@@ -109,25 +123,21 @@ def pack(sizes: DataFrame, id_column: str = "doc_id", size_column: str = "tokens
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for row in items.groupBy("size").count().collect():
         histogram[row[0]] = row[1]
-    boundaries = optimal_boundaries(histogram[1:], buckets)
-    groups = int(min(MAX_GROUPS, max(1, histogram[1:].sum() // GROUP)))
-    # Bucket of each size, as a lookup of at most ``capacity`` entries.
-    lookup = F.lit([int(x) for x in np.searchsorted(boundaries, np.arange(1, capacity + 1))])
-    some = items.where("size > 0").withColumn("bucket", F.element_at(lookup, F.col("size")))
-    some = some.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
-    per_group = {(r[0], r[1]): r[2] for r in some.groupBy("bucket", "part").count().collect()}
-    offsets, counts = [], [0] * len(boundaries)
-    for k in range(len(boundaries)):
-        for g in range(groups):
-            offsets.append((k, g, counts[k]))
-            counts[k] += per_group.get((k, g), 0)
-    plan, _ = batches(boundaries, counts, capacity)
-    rank = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("id", "piece")) - 1
+    plan, _ = batches(histogram[1:], optimal_boundaries(histogram[1:], buckets), capacity)
+    # Groups of each size, as a lookup of ``capacity`` entries.
+    groups = np.maximum(1, -(-histogram[1:] // GROUP))
+    some = items.where("size > 0")
+    some = some.withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.element_at(F.lit([int(g) for g in groups]), F.col("size"))).cast("int"))
+    offsets, before = [], dict.fromkeys(range(1, capacity + 1), 0)
+    for k, g, n in sorted(tuple(r) for r in some.groupBy("size", "part").count().collect()):
+        offsets.append((k, g, before[k]))
+        before[k] += n
+    rank = F.row_number().over(Window.partitionBy("size", "part").orderBy("id", "piece")) - 1
     ranked = some.withColumn("r", rank)
-    # Bounded: buckets x groups rows, and a few intervals per bucket.
-    ranked = ranked.join(F.broadcast(spark.createDataFrame(offsets or [(0, 0, 0)], "bucket int, part int, before long")), ["bucket", "part"]).withColumn("r", F.col("r") + F.col("before"))
-    intervals = spark.createDataFrame([(p.bucket, p.start, p.end, p.base, p.each) for p in plan] or [(0, 0, 0, 0, 1)], "b int, s long, e long, base long, each long")
-    placed = ranked.join(F.broadcast(intervals), (F.col("bucket") == F.col("b")) & (F.col("r") >= F.col("s")) & (F.col("r") < F.col("e")))
+    # Bounded: one row per group, and a few intervals per size.
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(offsets or [(0, 0, 0)], "size int, part int, before long")), ["size", "part"]).withColumn("r", F.col("r") + F.col("before"))
+    intervals = spark.createDataFrame([(p.size, p.start, p.end, p.base, p.each) for p in plan] or [(0, 0, 0, 0, 1)], "b int, s long, e long, base long, each long")
+    placed = ranked.join(F.broadcast(intervals), (F.col("size") == F.col("b")) & (F.col("r") >= F.col("s")) & (F.col("r") < F.col("e")))
     placed = placed.select("id", "piece", "size", (F.col("base") + F.floor((F.col("r") - F.col("s")) / F.col("each"))).alias("container"))
     empty = items.where("size = 0").select("id", "piece", "size", F.lit(None).cast("long").alias("container"))
     return placed.unionByName(empty).select(F.col("id").alias(id_column), "piece", F.col("size").alias("piece_tokens"), "container")

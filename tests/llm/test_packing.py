@@ -21,16 +21,39 @@ def test_boundaries_minimise_padding(counts, buckets):
     assert len(found) <= buckets and cost(found) == best
 
 
-def test_plan_uses_every_item_once():
-    boundaries, counts = [3, 7, 11, 20], [13, 5, 8, 4]
-    plan, containers = batches(boundaries, counts, 20)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=20), st.integers(1, 5))
+def test_plan_uses_every_item_once(counts, buckets):
+    capacity = len(counts)
+    plan, containers = batches(counts, optimal_boundaries(counts, buckets), capacity)
     used = defaultdict(int)
     for p in plan:
         assert (p.end - p.start) % p.each == 0
         for r in range(p.start, p.end):
-            used[p.base + (r - p.start) // p.each] += boundaries[p.bucket]
-    assert [sum(p.end - p.start for p in plan if p.bucket == k) for k in range(4)] == counts
-    assert max(used.values()) <= 20 and set(used) == set(range(containers))
+            used[p.base + (r - p.start) // p.each] += p.size
+    for size, count in enumerate(counts, 1):
+        assert sorted(r for p in plan if p.size == size for r in range(p.start, p.end)) == list(range(count))
+    assert not used or max(used.values()) <= capacity
+    assert set(used) == set(range(containers))
+
+
+def test_a_batch_takes_its_own_bucket_first():
+    counts = [0] * 100
+    counts[39], counts[37], counts[19], counts[21] = 2, 2, 2, 4  # sizes 40, 38, 20, 22
+    plan, _ = batches(counts, [22, 40], 100)
+    first = {p.size: p.each for p in plan if p.base == 0}
+    assert first == {40: 2, 20: 1}  # no third one of its own bucket fits
+    plan, _ = batches([0] * 29 + [10] + [0] * 3 + [1] + [0] * 66, [30, 100], 100)
+    assert {p.size: p.each for p in plan if p.base == 0} == {34: 1, 30: 2}
+
+
+def test_little_room_is_left():
+    rng = random.Random(5)
+    counts = [0] * 2048
+    for _ in range(20_000):
+        counts[min(2047, int(rng.lognormvariate(5.5, 1)))] += 1
+    _, containers = batches(counts, optimal_boundaries(counts, 64), 2048)
+    assert sum((i + 1) * c for i, c in enumerate(counts)) / (containers * 2048) > 0.995
 
 
 def test_containers(spark):
