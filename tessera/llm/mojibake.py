@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 #: Encodings in which UTF-8 is read by mistake. ``cp1252`` also stands for Latin-1: its gaps are the C1 controls.
 LEGACY = ("cp1252", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "cp1258")
 LOST = "�"
-MAX_LEVELS = 4
 
 
 @lru_cache(maxsize=None)
@@ -213,11 +212,8 @@ def repair_level(text: str) -> tuple[str, int]:
 def repair(text: str) -> tuple[str, bool]:
     """(restored text, whether anything garbled was found); what can't be restored stays as it is."""
     garbled = LOST in text
-    for _ in range(MAX_LEVELS):
-        text, count = repair_level(text)
-        if not count:
-            break
-        garbled = True
+    while (level := repair_level(text))[1]:  # each level makes the text shorter
+        text, garbled = level[0], True
     if one_byte_words(text):
         garbled = True
         text = _undo_one_byte(text)
@@ -303,7 +299,7 @@ def suspect(text: str) -> bool:
 def garbled_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", restore: bool = True) -> DataFrame:
     """(id, restored, restorable), without ``restore`` only (id): the documents with garbled text, whole texts, with what could be restored.
 
-    Null, empty and blank texts are clean. ``restorable`` is false where lost characters remain. The scan's stage drops
+    Null, empty and blank texts are clean. ``restorable`` is false where lost characters or other garbled places remain. The scan's stage drops
     texts of ASCII only; the rest is repaired in Arrow batches, without any shuffle.
     """
 
@@ -314,7 +310,7 @@ def garbled_documents(df: DataFrame, id_column: str = "doc_id", text_column: str
                 yield batch[["id"]]
                 continue
             done = [repair(t) for t in batch["text"]]
-            out = pd.DataFrame({"id": batch["id"], "restored": [t for t, _ in done], "restorable": [LOST not in t for t, _ in done]})
+            out = pd.DataFrame({"id": batch["id"], "restored": [t for t, _ in done], "restorable": [not is_garbled(t) for t, _ in done]})
             yield out[[g for _, g in done]]
 
     kind = dict(df.dtypes)[id_column]

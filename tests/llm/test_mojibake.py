@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
+from tessera.llm import mojibake
 from tessera.llm.mojibake import byte_table, garbled_documents, is_garbled, repair, suspect
 
 CLEAN = [
@@ -75,3 +76,11 @@ def test_letters_of_broken_units_in_clean_texts(text):
 @given(st.text(st.sampled_from("ax â€ß║╗├бєв»ЂїƒëÄÆ°‘ï¿½"), max_size=12))
 def test_prefilter_over_broken_units(text):
     assert suspect(text) or not is_garbled(text)
+
+
+def test_every_level_is_undone():
+    text = "thận và “máu”"
+    garbled = text
+    for _ in range(6):
+        garbled = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in garbled.encode("utf-8"))
+    assert mojibake.repair(garbled) == (text, True)
