@@ -1,132 +1,17 @@
 """Freely typed names to the entries of a reference list (problem 5).
 
-The distinct names are found first (combined on the map side), so each is searched once, however often it was typed. A
-search walks a trie of the reference entries with a Levenshtein automaton; aliases, other languages, turned word order
-and the usual additions are further paths to the same entry.
+The search itself (a trie of entries and aliases walked by a Levenshtein automaton) is that of
+:mod:`tessera.operators.names`; here are the names of the tables and what is reported of them.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.plain import bare, one_line
-from tessera.llm.automaton import Trie
-from tessera.llm.characters import compose, to_latin
-
-UNMATCHED = "unmatched"
-#: Largest number of reference rows that is sent to every task.
-MAX_REFERENCE = 100_000
-#: Words put before or after a name on request forms, without accents.
-BEFORE = ("xet nghiem", "chi so", "dinh luong", "nong do", "xn", "test", "kq")
-AFTER = ("result", "level", "test", "mau")
-_REPEAT = re.compile(r" (?:lan|dot|no|so) \d+$")
-_BRACKETS = re.compile(r"[(\[{]([^)\]}]*)[)\]}]?")
-_PUNCTUATION = re.compile(r"[^\w+]|_")
-
-
-def normal(name: str) -> str:
-    """Comparable form of a name: no accents, case, punctuation, look-alikes or invisible characters."""
-    text = name if name.isascii() else to_latin(compose(name))
-    return one_line(_PUNCTUATION.sub(" ", bare(text)))
-
-
-def allowed(length: int) -> int:
-    """Errors allowed for a reference form of this length: none up to 3 characters, then one, two from 7, three from 12."""
-    return 0 if length <= 3 else 1 if length <= 6 else 2 if length <= 11 else 3
-
-
-def turned(form: str) -> list[str]:
-    """The form and its rotations by one word in either direction."""
-    words = form.split(" ")
-    return [form] if len(words) < 2 else list(dict.fromkeys([form, " ".join(words[-1:] + words[:-1]), " ".join(words[1:] + words[:1])]))
-
-
-class NameMatcher:
-    """Finds the closest reference entry. ``rows``: (id, canonical, names and aliases)."""
-
-    def __init__(self, rows: list[tuple[int, str, list[str]]]):
-        self.canonical = {i: c for i, c, _ in rows}
-        entries: dict[tuple[str, int], None] = {}
-        for i, canonical, names in rows:
-            for k, name in enumerate([canonical, *names]):
-                form = normal(name)
-                if form:
-                    for path in turned(form):
-                        entries[(path, i)] = None
-        self.trie = Trie(entries)
-        #: Forms of up to three characters stand for themselves only, with their case-folded signs.
-        self.memo: dict[str, str] = {}
-
-    def variants(self, name: str) -> list[str]:
-        """Forms to look for, the most telling first."""
-        text = name if name.isascii() else compose(name)
-        inside = [normal(x) for x in _BRACKETS.findall(text)]
-        outside = normal(_BRACKETS.sub(" ", text))
-        found = [outside, normal(text)] if inside else [outside]
-        for form in list(found):
-            cut = _REPEAT.sub("", form)
-            for word in BEFORE:
-                if cut.startswith(word + " "):
-                    found.append(cut[len(word) + 1 :])
-            for word in AFTER:
-                if cut.endswith(" " + word):
-                    found.append(cut[: -len(word) - 1])
-            found.append(cut)
-        return [x for x in dict.fromkeys([*found, *inside]) if x]
-
-    def best(self, form: str) -> tuple[int, int] | None:
-        """(distance, id) of the closest entry within the allowed distance of its form."""
-        # An entry may be longer than the form by its own errors, so its length decides how many there may be.
-        most = max((d for d in range(1, allowed(1 << 30) + 1) if d <= allowed(len(form) + d)), default=0)
-        for limit in range(1, most + 1):  # few errors first: they visit few nodes
-            hits = [(d, i) for d, path, i in self.trie.search(form, limit) if d <= allowed(len(path))]
-            if hits:
-                return min(hits)
-        return None
-
-    def match(self, name: str) -> str:
-        known = self.memo.get(name)
-        if known is None:
-            known = self.memo[name] = self._match(name)
-        return known
-
-    def _match(self, name: str) -> str:
-        forms = self.variants(name)
-        for form in forms:
-            exact = self.trie.exact(form)
-            if exact:
-                return self.canonical[min(i for _, i in exact)]
-        hits = [hit for form in forms if (hit := self.best(form))]
-        return self.canonical[min(hits)[1]] if hits else UNMATCHED
-
-
-def reference_rows(reference: DataFrame) -> list[tuple[int, str, list[str]]]:
-    """The reference list on the driver; refused beyond :data:`MAX_REFERENCE` rows, as it goes to every task."""
-    rows = reference.select("biomarker_id", "biomarker", "name_vi", "name_en", "aliases").limit(MAX_REFERENCE + 1).collect()
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError(f"the reference list has more than {MAX_REFERENCE} rows; split it by first letter and search the parts")
-    return [(r[0], r[1], [x for x in (r[2], r[3], *(r[4] or [])) if x]) for r in rows if r[1]]
-
-
-def resolve_names(names: DataFrame, reference: DataFrame, column: str = "name") -> DataFrame:
-    """(name, biomarker) of each distinct non-null name in ``column``; ``unmatched`` where no entry is close enough.
-
-    Empty names are unmatched; of entries equally close the one with the smallest id is taken.
-    """
-    rows = reference_rows(reference)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = NameMatcher(rows)
-        for batch in batches:
-            yield pd.DataFrame({"name": batch["name"], "biomarker": [matcher.match(x) for x in batch["name"]]})
+from tessera.operators.names import UNMATCHED, NameMatcher, closest_entries, resolve_names
 
-    distinct = names.select(F.col(column).alias("name")).where("name is not null").distinct()
-    return distinct.mapInPandas(search, "name string, biomarker string")
+__all__ = ["UNMATCHED", "NameMatcher", "canonical_names", "closest_entries", "resolve_names", "typed_names"]
 
 
 def typed_names(thresholds: DataFrame, audits: DataFrame) -> DataFrame:

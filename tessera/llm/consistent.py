@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.characters import IGNORABLE, LOOKALIKES, NOT_RUSSIAN, SYMBOLS, TO_CYRILLIC, TOKEN, _SPACES, script
+from tessera.functions.characters import IGNORABLE, LOOKALIKES, NOT_RUSSIAN, SYMBOLS, TO_CYRILLIC, TOKEN, _SPACES, script
 from tessera.session import checkpointed
 
 #: Spellings of tokens up to which they are sent to every task; beyond that they are joined to the texts.

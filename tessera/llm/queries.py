@@ -15,9 +15,6 @@ def _scanned(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.scanned_records(table(spark, folder, "thresholds_extra"), table(spark, folder, "medical_documents"))
 
 
-resolve_names = canonical_names.resolve_names
-
-
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise.scan_damage(_scanned(spark, folder))
 
@@ -49,6 +46,12 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return counts.join(resolved.where(F.col("biomarker") == canonical_names.UNMATCHED).select("name"), "name", "left_semi")
 
 
+def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry within the distance allowed of each distinct typed name, with the distance; one is picked."""
+    typed = canonical_names.typed_names(table(spark, folder, "thresholds_extra"), table(spark, folder, "medical_tools_audit_report"))
+    return canonical_names.closest_entries(typed, table(spark, folder, "biomarker_reference"))
+
+
 def _consistent(spark: SparkSession, folder: str) -> DataFrame:
     words = consistent.reference_words(table(spark, folder, "biomarker_reference"))
     return consistent.consistent_texts(table(spark, folder, "thresholds_extra"), "row_id", ["source_text", "biomarker"], words)
@@ -81,6 +84,6 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_paragraphs, p4_found, p4_counts, p5_found, p5_unmatched, p6_found, p6_consistent, p8_ids, p9_containers, p10_found, p10_restored)
+    f.__name__: f for f in (p2_found, p2_paragraphs, p4_found, p4_counts, p5_found, p5_unmatched, p5_entries, p6_found, p6_consistent, p8_ids, p9_containers, p10_found, p10_restored)
 }
 SQL: dict[str, str] = {}

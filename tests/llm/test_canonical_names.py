@@ -3,8 +3,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import rows
-from tessera.llm.automaton import Trie
-from tessera.llm.canonical_names import UNMATCHED, NameMatcher, canonical_names
+from tessera.operators.automaton import Trie
+from tessera.llm.canonical_names import UNMATCHED, NameMatcher, canonical_names, closest_entries
 
 WORDS = st.text("abcd", min_size=0, max_size=7)
 
@@ -58,3 +58,10 @@ def test_deletions_are_counted_by_the_length_of_the_entry(typed, entry):
 @pytest.mark.parametrize("typed, entry", [("albm", "albumin"), ("phosphlp", "phospholipid"), ("na", "natri"), ("ur", "urea")])
 def test_too_many_deletions_stay_unmatched(typed, entry):
     assert NameMatcher([(1, entry, [])]).match(typed) == UNMATCHED
+
+
+def test_all_entries_within_the_distance(spark):
+    reference = spark.createDataFrame([(1, "albumin", None, None, None), (2, "albumins", None, None, ["albmin"]), (3, "ferritin", None, None, None)], "biomarker_id int, biomarker string, name_vi string, name_en string, aliases array<string>")
+    names = spark.createDataFrame([("albumn",), ("albumn",), ("ferritin",), ("xyz",), ("",), (None,)], "name string")
+    got = rows(closest_entries(names, reference))
+    assert got == [("", "unmatched", None, True), ("albumn", "albumin", 1, True), ("albumn", "albumins", 2, False), ("ferritin", "ferritin", 0, True), ("xyz", "unmatched", None, True)]

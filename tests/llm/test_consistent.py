@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from conftest import rows
-from tessera.llm.characters import IGNORABLE
+from tessera.functions.characters import IGNORABLE
 from tessera.llm.consistent import Consistent, LookalikeTrie, consistent_texts, shows
 
 CLEAN = [
