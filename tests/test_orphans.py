@@ -1,8 +1,12 @@
 import datetime as dt
 import random
 
+import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
+
 from conftest import rows
-from tessera.operators.orphans import orphan_report
+from tessera.operators.orphans import ARRAY_LIMIT, BLOCK_BITS, Container, orphan_report
 
 REFS = "ref_table string, ref_id string, space string, key string, at timestamp, extra int"
 PARENTS = "space string, key string, born timestamp, ended timestamp, at int"
@@ -33,7 +37,7 @@ def test_against_brute_force(spark):
         parents += [("s", k, born, ended, 0)] * rng.choice([1, 1, 2])
     refs = [("t", f"r{i}", rng.choice(["s", "s", "other"]), rng.choice([*keys, "k0", "k0", None]), rng.choice([day(), day(), None]), 1) for i in range(400)]
     refs += refs[:20] + [("t", f"hot{i}", "s", "gone", day(), 1) for i in range(200)]  # repeated rows and a hot key
-    got = orphan_report(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS), ranges=3)
+    got = orphan_report(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS))
     assert rows(got) == brute(refs, parents)
 
 
@@ -42,3 +46,21 @@ def test_empty_tables(spark):
     assert rows(orphan_report(refs, parents)) == []
     one = spark.createDataFrame([("t", "r", "s", "k", dt.datetime(2024, 2, 3), 0)], REFS)
     assert rows(orphan_report(one, parents)) == [("t", "r", "k", "missing", "2024-02")]
+
+
+CODES = st.one_of(st.sets(st.integers(0, 60)), st.integers(0, 3).map(lambda k: set(range(k, BLOCK_BITS, 7))))
+
+
+@given(CODES, CODES)
+def test_containers_are_sets(a, b):
+    one, two = (Container(np.array(sorted(x), dtype=np.int64)) for x in (a, b))
+    assert (one.array is None) == (len(a) > ARRAY_LIMIT)
+    assert set((one | two).codes().tolist()) == a | b and set(one.andnot(two).codes().tolist()) == a - b
+
+
+def test_versions_of_one_key_are_merged(spark):
+    at = lambda d: dt.datetime(2024, 1, d)
+    parents = [("s", "k", at(1), at(5), 0), ("s", "k", at(3), at(9), 0), ("s", "k", at(12), None, 0), ("s", "n", None, at(4), 0)] + [("s", "k", at(3), at(4), 0)] * 50
+    refs = [("t", str(d), "s", k, at(d), 0) for d in (1, 4, 5, 9, 11, 12, 30) for k in ("k", "n")]
+    got = orphan_report(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS))
+    assert rows(got) == brute(refs, parents)
