@@ -133,7 +133,8 @@ def closest_entries(names: DataFrame, reference: DataFrame, column: str = "name"
 
     distinct = names.select(F.col(column).alias("name")).where("name is not null").distinct()
     parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return distinct.repartition(parts, "name").mapInPandas(search, "name string, biomarker string, distance int, picked boolean")
+    # By a hash of the name: a repartitioning by the name itself would be dropped as redundant and its partitions merged by size.
+    return distinct.repartition(parts, F.xxhash64("name")).mapInPandas(search, "name string, biomarker string, distance int, picked boolean")
 
 
 def resolve_names(names: DataFrame, reference: DataFrame, column: str = "name") -> DataFrame:
