@@ -6,6 +6,8 @@ vector searches block by block; each block keeps only its best hits before anyth
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -13,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ascii_key_trimmed
+from tessera.functions.text import ascii_key_trimmed, fold_pairs
 from tessera.functions.vocab import RETRIEVAL_STOPWORDS
 from tessera.session import broadcast_if_small
 
@@ -37,20 +39,45 @@ def content_tokens(text: Column, limit: int = QUERY_TOKENS) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda t: ~t.isin(RETRIEVAL_STOPWORDS))), 1, limit)
 
 
-def _with_length(words: Column) -> Column:
-    return F.flatten(F.transform(F.array(words), lambda ws: F.transform(ws, lambda w: F.struct(w.alias("term"), F.size(ws).alias("length")))))
+_TERM = re.compile(r"[a-z0-9]+(?:[./\-][a-z0-9]+)*")
+
+
+def _folding() -> dict[int, str | None]:
+    source, target = fold_pairs()
+    return {ord(c): target[i] if i < len(target) else None for i, c in enumerate(source)}
 
 
 def postings(passages: DataFrame, id_column: str = "id", text_column: str = "text") -> DataFrame:
-    """(term, id, tf, length): the inverted index. Null texts and texts without terms have no postings."""
-    # The terms are made once: the length goes with each of them, instead of being taken from a second copy of the array.
-    worded = passages.select(F.col(id_column).alias("id"), F.explode(_with_length(terms(F.col(text_column)))).alias("t"))
-    return worded.select("id", F.col("t.length").alias("length"), F.col("t.term").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, id, tf, length, head): the inverted index; ``head`` marks one posting of each passage.
+
+    The terms are those of :func:`terms`, counted text by text in Arrow batches, so that nothing is shuffled. Null texts and
+    texts without terms have no postings. Passages are told apart by their rows: one that comes twice is indexed twice.
+    """
+    kind = dict(passages.dtypes)[id_column]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, stop = _folding(), frozenset(RETRIEVAL_STOPWORDS)
+        for batch in batches:
+            ids, lengths, found, counts = [], [], [], []
+            for i, text in zip(batch["id"], batch["text"]):
+                plain = text.lower() if text.isascii() else text.translate(fold).lower().encode("ascii", "ignore").decode("ascii")
+                tf = Counter(t for t in _TERM.findall(plain) if (len(t) >= 2 or t.isdigit()) and t not in stop)
+                if tf:
+                    ids.append(i)
+                    lengths.append(sum(tf.values()))
+                    found.append(list(tf))
+                    counts.append(list(tf.values()))
+            yield pd.DataFrame({"id": ids, "length": lengths, "terms": found, "counts": counts})
+
+    rows = passages.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null")
+    counted = rows.mapInPandas(count, f"id {kind}, length long, terms array<string>, counts array<long>")
+    each = counted.select("id", "length", F.posexplode(F.arrays_zip("terms", "counts")).alias("place", "t"))
+    return each.select(F.col("t.terms").alias("term"), "id", F.col("t.counts").alias("tf"), "length", (F.col("place") == 0).alias("head"))
 
 
 def corpus_statistics(index: DataFrame) -> DataFrame:
-    """One row (documents, average_length) of an inverted index."""
-    return index.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average_length"))
+    """One row (documents, average_length) of an inverted index, by one partial aggregation."""
+    return index.where("head").agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("average_length"))
 
 
 def term_weights(index: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -194,15 +221,20 @@ def lexical_bonus(tokens: Column, text_tokens: Column, numbers: Column, text: Co
 def neighbors(passages: DataFrame, hits: DataFrame, keys: Sequence[str], position: str, before: int = 1, after: int = 4, limit: int = 1800) -> DataFrame:
     """hits plus ``expanded``: texts of the passages around each hit, in order, joined by line feeds, cut at ``limit`` characters.
 
-    Passages belong together by ``keys`` and lie at ``position``. The range join is an equi-join on the keys with a
-    bounded window; a passage that comes twice counts once. A hit always contains its own text.
+    Passages belong together by ``keys`` and lie at ``position``. The join is by equality of the keys and of a bucket of
+    positions as wide as the window, so that a hot file is split among its buckets and a hit meets two of them; a passage
+    that comes twice counts once. A hit always contains its own text; one without a position has no neighbours.
     """
+    width = before + after + 1
     around = passages.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(position).alias("_position"), F.col("text").alias("_text")).where("_text is not null").distinct()
-    condition = F.col("_position").between(F.col(position) - before, F.col(position) + after)
+    around = around.withColumn("_bucket", F.floor(F.col("_position") / width))
+    buckets = F.sequence(F.floor((F.col(position) - before) / width), F.floor((F.col(position) + after) / width))
+    asked = hits.withColumn("_at", F.explode_outer(buckets))
+    condition = (F.col("_at") == F.col("_bucket")) & F.col("_position").between(F.col(position) - before, F.col(position) + after)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = hits.join(around, condition, "left")
-    texts = F.transform(F.array_sort(F.collect_set(F.struct("_position", "_text"))), lambda x: x["_text"])
+    joined = asked.join(around, condition, "left")
+    texts = F.transform(F.array_sort(F.collect_set(F.when(F.col("_text").isNotNull(), F.struct("_position", "_text")))), lambda x: x["_text"])
     return joined.groupBy(*hits.columns).agg(F.substring(F.array_join(F.array_distinct(texts), "\n"), 1, limit).alias("expanded"))
 
 

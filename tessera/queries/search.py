@@ -1,6 +1,7 @@
 """Retrieval: vectors, words, patterns, fusion, expansion, grading and gold metrics.
 
-Queries of the searches are the documents whose id is divisible by 50 (their first words), against all documents.
+Queries of the searches are the whole documents whose id is divisible by 50, against all documents; a search takes as many
+terms of a query as the operator itself allows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def _passages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("doc_id % 50 = 0 and text is not null")
-    return docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 120).alias("query"))
+    return docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +58,7 @@ def ret11_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ret03_conjunctive_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.conjunctive(_queries(spark, folder), R.postings(_passages(spark, folder)), TOP)
+    return R.conjunctive(_queries(spark, folder), R.postings(spread(_passages(spark, folder))), TOP)
 
 
 def _patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,9 +78,10 @@ def ret07_hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ret15_subquery_merge(spark: SparkSession, folder: str) -> DataFrame:
-    """Each query is also asked by its second half; every passage keeps its best score."""
+    """Each query is also asked by the second half of its words; every passage keeps its best score."""
     index, queries = _index(spark, folder), _queries(spark, folder)
-    halves = queries.select("query_id", F.substring("query", 61, 60).alias("query"))
+    words = F.split("query", " ")
+    halves = queries.select("query_id", F.array_join(F.slice(words, F.floor(F.size(words) / 2).cast("int") + 1, F.size(words)), " ").alias("query"))
     return R.merge_by_score(R.bm25(queries, index, TOP), R.bm25(halves, index, TOP), top=TOP)
 
 
@@ -90,7 +92,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def ret10_neighbor_expand(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _chunks(spark, folder)
-    hits = chunks.where("chunk_index % 5 = 0 and text is not null").select("id", "source_file", "page", "chunk_index")
+    hits = chunks.where("text is not null").select("id", "source_file", "page", "chunk_index")
     return R.neighbors(chunks, hits, ["source_file", "page"], "chunk_index").select("id", "expanded")
 
 
@@ -191,7 +193,7 @@ _INDEX = f"""
     rawidf AS (SELECT term, COUNT(*) AS df, LN((documents - COUNT(*) + 0.5::DOUBLE) / (COUNT(*) + 0.5::DOUBLE)) AS raw FROM idx, stats GROUP BY term, documents),
     weights AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT AVG(raw) FROM rawidf) ELSE raw END AS idf FROM rawidf)
 """
-_ASKED = "queries AS (SELECT doc_id AS query_id, SUBSTRING(text, 1, 120) AS query FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)"
+_ASKED = "queries AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)"
 
 
 def _bm25(name: str, source: str, top: int) -> str:
@@ -234,10 +236,10 @@ SQL = {
         fused AS (SELECT query_id, id, MIN(rank) FILTER (b = 'v') AS vector_rank, MIN(rank) FILTER (b = 'k') AS keyword_rank FROM both_ GROUP BY ALL),
         scored AS (SELECT *, ROUND(COALESCE(0.85::DOUBLE / (60 + vector_rank), 0) + COALESCE(1.0::DOUBLE / (60 + keyword_rank), 0), 9) AS rrf_score FROM fused)
         SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rank FROM scored) WHERE rank <= {TOP}""",
-    "ret15_subquery_merge": f"""WITH {_INDEX}, {_ASKED}, halves AS (SELECT query_id, SUBSTRING(query, 61, 60) AS query FROM queries), {_bm25("whole", "queries", TOP)}, {_bm25("half", "halves", TOP)},
+    "ret15_subquery_merge": f"""WITH {_INDEX}, {_ASKED}, halves AS (SELECT query_id, ARRAY_TO_STRING((STRING_SPLIT(query, ' '))[(LEN(STRING_SPLIT(query, ' ')) // 2 + 1):], ' ') AS query FROM queries), {_bm25("whole", "queries", TOP)}, {_bm25("half", "halves", TOP)},
         merged AS (SELECT query_id, id, MAX(score) AS score FROM (SELECT query_id, id, score FROM whole UNION ALL SELECT query_id, id, score FROM half) GROUP BY ALL)
         SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM merged) WHERE rank <= {TOP}""",
-    "ret10_neighbor_expand": f"""WITH {_CHUNKS}, hits AS (SELECT id, source_file, page, chunk_index FROM chunks WHERE chunk_index % 5 = 0 AND text IS NOT NULL),
+    "ret10_neighbor_expand": f"""WITH {_CHUNKS}, hits AS (SELECT id, source_file, page, chunk_index FROM chunks WHERE text IS NOT NULL),
         near AS (SELECT DISTINCT h.id, h.source_file, h.page, h.chunk_index, c.chunk_index AS p, c.text AS t FROM hits h LEFT JOIN chunks c
             ON c.source_file IS NOT DISTINCT FROM h.source_file AND c.page IS NOT DISTINCT FROM h.page AND c.text IS NOT NULL AND c.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 4),
         firsts AS (SELECT id, source_file, page, chunk_index, t, MIN(p) AS p FROM near GROUP BY ALL)
