@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 50_000
@@ -45,6 +45,11 @@ def repaired(text: str) -> str:
     return _TRAILING.sub(r"\1", _CONTROL.sub("", text.removeprefix("﻿")))
 
 
+def repaired_column(text: Column) -> Column:
+    """:func:`repaired` as an expression."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""), r",(\s*[}\]])", "$1")
+
+
 def objects(text: str | None) -> list[str]:
     """The outermost objects that parse, as they stand in the text or after repair."""
     out, place = [], 0

@@ -89,11 +89,10 @@ def term_weights(index: DataFrame, epsilon: float = 0.25) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, top: int = 15) -> DataFrame:
-    """(query_id, id, score, rank): Okapi BM25 of (query_id, query) over an inverted index.
+def bm25_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, id, score): Okapi BM25 of (query_id, query) over an inverted index, all passages with a term of the query.
 
-    Scores below 0.01 are left out, then the best ``top`` of each query kept. A term counts as often as the query has it
-    among its first 32 terms. Queries without terms have no hits.
+    A term counts as often as the query has it among its first 32 terms. Queries without terms have no rows.
     """
     wanted = queries.select("query_id", F.explode(F.slice(terms(F.col("query")), 1, QUERY_TOKENS)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     average = corpus_statistics(index).select("average_length")
@@ -101,8 +100,12 @@ def bm25(queries: DataFrame, index: DataFrame, top: int = 15) -> DataFrame:
     hits = index.join(weighted, "term").crossJoin(F.broadcast(average))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("average_length")))
-    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")).where(F.col("score") >= FLOOR)
-    return best(scores, "query_id", [F.col("score").desc(), F.col("id")], top)
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, top: int = 15) -> DataFrame:
+    """(query_id, id, score, rank): :func:`bm25_scores` without those below 0.01, the best ``top`` of each query."""
+    return best(bm25_scores(queries, index).where(F.col("score") >= FLOOR), "query_id", [F.col("score").desc(), F.col("id")], top)
 
 
 def best(df: DataFrame, key: str, order: Sequence[Column], top: int, rank: str = "rank") -> DataFrame:
