@@ -11,7 +11,7 @@ from tessera.functions.vocab import CLASS_RULES, SEX_FACTORS
 from tessera.operators import lab, models
 from tessera.operators import retrieval as R
 from tessera.operators import rules as RU
-from tessera.queries.search import _ASKED, _STOP, _CHUNKS, _INDEX, TOP, _bm25, _chunks, _index, _nearest, _passages, _queries, _vectors, sql_key, sql_tokens
+from tessera.queries.search import _ASKED, _CHUNKS, _INDEX, TOP, _bm25, _chunks, _index, _nearest, _passages, _queries, _vectors, sql_key, sql_token_set, sql_tokens
 from tessera.sources import files
 from tessera.session import broadcast_if_small, spread, table
 
@@ -29,11 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def sql_token_set(x: str) -> str:
-    """All content tokens of a text, in no order."""
-    return f"LIST_DISTINCT(LIST_FILTER(REGEXP_EXTRACT_ALL({sql_key(x)}, '[a-z0-9]{{3,}}'), lambda t: NOT LIST_CONTAINS({_STOP}, t)))"
-
-
 def _t(spark, folder):
     return table(spark, folder, "thresholds_extra")
 

@@ -9,7 +9,7 @@ from tessera.functions import passages as P
 from tessera.functions import text as T
 from tessera.operators import ordered as O
 from tessera.operators import retrieval as R
-from tessera.queries.search import _ASKED, _INDEX, _bm25, _index, _passages, _queries, sql_fold, sql_key, sql_tokens
+from tessera.queries.search import _ASKED, _INDEX, _bm25, _index, _passages, _queries, sql_fold, sql_key, sql_token_set, sql_tokens
 from tessera.queries.strings import _QA, _qa, _sql_hint
 from tessera.queries.tables import _CHUNKS, _DOCS, _chunks, _docs
 from tessera.session import broadcast_if_small, table
@@ -209,7 +209,7 @@ def win11_labels_over_union(spark, folder):
     return ranked.join(before, ["part", "b"]).select("part", "id", (F.col("r") + F.col("before")).alias("label"))
 
 
-@query(f"""WITH {_INDEX}, {_ASKED}, {_bm25("hits", "queries", 10)}, again AS (SELECT h.query_id, h.id, ROUND(GREATEST(h.score, 0) + LEN(LIST_INTERSECT({sql_tokens("q.query")}, {sql_tokens("d.text", 100000)})) * 0.05::DOUBLE, 6) AS score FROM hits h JOIN queries q USING (query_id) JOIN documents d ON d.doc_id = h.id)
+@query(f"""WITH {_INDEX}, {_ASKED}, {_bm25("hits", "queries", 10)}, again AS (SELECT h.query_id, h.id, ROUND(GREATEST(h.score, 0) + LEN(LIST_INTERSECT({sql_tokens("q.query")}, {sql_token_set("d.text")})) * 0.05::DOUBLE, 6) AS score FROM hits h JOIN queries q USING (query_id) JOIN documents d ON d.doc_id = h.id)
     SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM again""")
 def top05_heuristic_rerank(spark, folder):
     """The best hits of each query ranked again by score plus shared tokens."""

@@ -186,6 +186,11 @@ def sql_tokens(x: str, limit: int = 32) -> str:
     return f"({sql_distinct(found)})[1:{limit}]"
 
 
+def sql_token_set(x: str) -> str:
+    """All content tokens of a text, in no order."""
+    return f"LIST_DISTINCT(LIST_FILTER(REGEXP_EXTRACT_ALL({sql_key(x)}, '[a-z0-9]{{3,}}'), lambda t: NOT LIST_CONTAINS({_STOP}, t)))"
+
+
 _INDEX = f"""
     worded AS MATERIALIZED (SELECT doc_id AS id, {sql_terms("text")} AS ts FROM documents WHERE text IS NOT NULL),
     idx AS MATERIALIZED (SELECT id, length, term, COUNT(*) AS tf FROM (SELECT id, LEN(ts) AS length, UNNEST(ts) AS term FROM worded) GROUP BY ALL),
@@ -254,7 +259,7 @@ SQL = {
         FROM thresholds_extra WHERE source_text IS NOT NULL ORDER BY grade DESC, row_id LIMIT 50""",
     "ret14_sufficiency": f"""WITH {_INDEX}, {_ASKED}, {_bm25("hits", "queries", 3)},
         asked AS (SELECT query_id, {sql_tokens("query")} AS tokens FROM queries),
-        seen AS (SELECT query_id, FLATTEN(LIST({sql_tokens("text", 100000)})) AS have, MAX(score) AS top FROM hits JOIN documents ON doc_id = id GROUP BY query_id),
+        seen AS (SELECT query_id, FLATTEN(LIST({sql_token_set("text")})) AS have, MAX(score) AS top FROM hits JOIN documents ON doc_id = id GROUP BY query_id),
         judged AS (SELECT query_id, top, COALESCE(CASE WHEN LEN(tokens) > 0 THEN LEN(LIST_INTERSECT(tokens, have))::DOUBLE / LEN(tokens) ELSE 0 END, 0) AS c FROM asked LEFT JOIN seen USING (query_id))
         SELECT query_id, ROUND(c, 6) AS coverage, COALESCE(top IS NOT NULL AND c >= 0.34::DOUBLE, FALSE) AS sufficient FROM judged""",
     "agg13_gold_metrics": f"""WITH {_LIVE}, gold AS (SELECT DISTINCT id, doc FROM qa WHERE doc IS NOT NULL),
