@@ -227,17 +227,22 @@ class Converter:
 
         Every number of the text is a reading of the record's numbers; the identity of both leaves a log residual of zero for
         the record's own ones. Of those with a unit, numbers after a comparison sign or a range come first; where none has a
-        unit, the one that the text states counts.
+        unit, the one that the text states counts. In a text that has none of the record's numbers (it was copied without
+        their marks or is about a sister quantity) the limit with the smallest residual takes their place.
         """
         text = compatible(text).lower()
         wanted = [v for v in values if v is not None and v == v]
-        places = []
+        places, limits = [], []
         for m in _NUMBER.finditer(text):
             read = readings(m[0])
             rank = next((i for i, v in enumerate(wanted) if any(math.isclose(v, r, rel_tol=1e-9) for r in read)), None)
+            limit = _BEFORE_LIMIT.search(text[max(0, m.start() - 8) : m.start()])
             if rank is not None:
-                places.append((not _BEFORE_LIMIT.search(text[max(0, m.start() - 8) : m.start()]), rank, m.end()))
-        for _, _, end in sorted(places):
+                places.append((not limit, rank, m.end()))
+            elif limit:
+                residual = min((abs(math.log(r / v)) for r in read for v in wanted if r > 0 and v > 0), default=math.inf)
+                limits.append((residual, m.end(), m.end()))
+        for _, _, end in sorted(places or limits):
             unit = self.unit_at(quantity, text, end)
             if unit is not None:
                 return unit

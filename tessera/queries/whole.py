@@ -283,16 +283,22 @@ def txt15_rule_table(spark, folder):
 def txt10_biomarker_before_sign(spark, folder):
     """The reference quantity whose name ends last before the first comparison sign of a text, of several the longest name.
 
-    One pass over each text with all names, instead of a pair of every text with every name.
+    Each text is read once in an Arrow batch with all names, which are the bounded reference list.
     """
     r = table(spark, folder, "biomarker_reference")
     names = r.select("biomarker", T.ascii_key_trimmed("name_vi").alias("a")).unionByName(r.select("biomarker", T.ascii_key_trimmed("name_en").alias("a"))).where("length(a) >= 3").distinct()
-    known = sorted({(x[1], x[0]) for x in names.collect()})
-    listed = F.lit([a for a, _ in known]), F.lit([b for _, b in known])
-    k = _folded(spark, folder).withColumn("at", F.position(F.lit("\x01"), F.regexp_replace("k", "(<=|>=|<|>)", "\x01"))).where("at > 0")
-    places = F.zip_with(*listed, lambda a, b: F.struct((F.position(a, F.col("k")) + F.length(a)).alias("e"), F.length(a).alias("l"), b.alias("b"), F.position(a, F.col("k")).alias("p")))
-    fine = F.filter(places, lambda x: (x["p"] > 0) & (x["e"] <= F.col("at")))
-    return k.select("row_id", F.array_max(fine)["b"].alias("biomarker")).where("biomarker is not null")
+    known = [(x[1], x[0]) for x in names.collect()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["k"]:
+                sign = min((p for p in (text.find("<"), text.find(">")) if p >= 0), default=-1)
+                places = ((p + len(a), len(a), b) for a, b in known if (p := text.find(a)) >= 0 and p + len(a) <= sign)
+                found.append(max(places, default=(0, 0, None))[2])
+            yield pd.DataFrame({"row_id": batch["row_id"], "biomarker": found})
+
+    return _folded(spark, folder).where(F.col("k").rlike("[<>]")).mapInPandas(run, "row_id long, biomarker string").where("biomarker is not null")
 
 
 @query(f"""SELECT DISTINCT id, CASE WHEN REGEXP_MATCHES(k, '(^|[^a-z0-9])(nu|female|woman)([^a-z0-9]|$)') THEN 'female' WHEN REGEXP_MATCHES(k, '(^|[^a-z0-9])(nam|male|man)([^a-z0-9]|$)') THEN 'male' END AS sex,

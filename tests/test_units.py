@@ -34,6 +34,7 @@ def test_dimensions_agree_across_spellings():
     ("≥ 336\nTrang 464\nμmol/L", (336.0,), "μmol/L"),
     ("ｃｒｅａｔｉｎｉｎ ＜ ４．６７ ｍｇ ／ ｄＬ", (4.67,), "mg/dL"),
     ("creatinin máu <1.33. Khảo sát", (1.33,), None),
+    ("creatinin < 412 mg / l là ngưỡng", (4.12,), None), ("creatinin < 412 mg / dl là ngưỡng", (4.12,), "mg/dL"), ("creatinin < 90 umol/l, sau khi < 4 mg/dl", (5.0,), "mg/dL"), ("creatinin < 4.12, sau khi < 5 mg/dl", (4.12,), None),
     ("nothing", (2.0,), None), ("creatinin > 1,234.5 µmol/L", (1234.5,), "μmol/L"), ("creatinin > 1.234,5 µmol/L", (1234.5,), "μmol/L"), ("trên 120 (đo bằng máy, hai lần trong cùng một buổi sáng) µmol/L", (120.0,), "μmol/L"),
     ("Đơn vị là µmol/L. Creatinin tăng khi > 120", (120.0,), "μmol/L"), ("≥ 336\nTrang 464\nSỔ TAY\n- 3 -\nPHẦN II\nμmol/L", (336.0,), "μmol/L"), ("ure đơn vị là g/L, creatinin > 120", (120.0,), None),
 ])
