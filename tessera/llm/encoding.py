@@ -22,7 +22,9 @@ from tessera.session import tokenizer_folder
 
 DEFAULT = "byte_bpe_50k"
 #: Chunks remembered per task; beyond that the table starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Characters of a chunk that is remembered beyond its batch, so that the table has a bounded size in bytes too.
+LONGEST = 64
 #: A space between two characters that are no white space. The published split of the byte-level tokenizers begins a new
 #: word at every such space, so the chunks between them can be encoded apart.
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
@@ -57,6 +59,8 @@ class Codec:
         #: Ids, as 32-bit bytes, of chunks after a boundary space and of chunks at the start of a text.
         self.later: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        #: Long chunks of the batch at hand.
+        self.passing: list[tuple[dict[str, bytes], str]] = []
         back = {c: b for b, c in byte_characters().items()}
         self.pieces = {i: bytes(back[c] for c in piece) if all(c in back for c in piece) else piece.encode() for piece, i in self.tokenizer.get_vocab().items()}
 
@@ -69,9 +73,14 @@ class Codec:
             new = list(wanted)
         for chunk, encoded in zip(new, self.tokenizer.encode_batch([prefix + c for c in new], add_special_tokens=False)):
             known[chunk] = np.array(encoded.ids, dtype=np.int32).tobytes()
+            if len(chunk) > LONGEST:
+                self.passing.append((known, chunk))
 
     def _cut(self, texts: list[str | None]) -> list[list[str]]:
-        """Chunks of each text, all of them remembered."""
+        """Chunks of each text, all of them remembered; long ones for this batch only."""
+        for known, chunk in self.passing:
+            known.pop(chunk, None)
+        self.passing.clear()
         cut = [chunks(t) if t else [] for t in texts]
         self._remember(self.first, {c[0] for c in cut if c}, "")
         self._remember(self.later, set(chain.from_iterable(cut)), " ")

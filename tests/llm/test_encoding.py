@@ -54,3 +54,10 @@ def test_corpus(spark, codec):
     assert back == dict(enumerate(TEXTS)) | {99: ""}
     assert {r.doc_id: r.tokens for r in token_counts(df).collect()}[99] == 0
     assert encode_corpus(df.limit(0)).count() == 0
+
+
+def test_long_chunks_are_remembered_for_one_batch_only():
+    codec = Codec()
+    long = "x" * 5000
+    assert codec.encode_many([long, f"a {long}", long]) == [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in (long, f"a {long}", long)]
+    assert codec.lengths(["b"]) == [1] and long not in codec.first and long not in codec.later
