@@ -6,7 +6,6 @@ A null input gives null; an empty text gives an empty text.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -104,12 +103,3 @@ def to_double(c: Column | str) -> Column:
     """A number with decimal point or comma; null where it is none (NUM06)."""
     text = F.trim(F.translate(_col(c), ",", "."))
     return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
-
-
-def strip_combining(c: Column | str) -> Column:
-    """Only the combining marks off."""
-    marks = "".join(chr(x) for x in range(0x300, 0x370) if unicodedata.combining(chr(x)))
-    return F.translate(_col(c), marks, "")
-
-
-MAX_CODE = sys.maxunicode

@@ -35,7 +35,9 @@ BIOMARKER_HINTS = {
     "creatinine": ["creatinin", "creatinine"],
     "protein_niệu_24h": ["protein nieu 24h", "protein nieu", "protein niu 24h"],
 }
-RETRIEVAL_STOPWORDS = "benh than hoi chung viem cau co la gi nao nhung cac cua cho theo duoc khi nhu the trong va hoac mot doi voi nguoi".split()
+RETRIEVAL_STOPWORDS = [
+    "benh", "than", "hoi", "chung", "viem", "cau", "co", "la", "gi", "nao", "nhung", "cac", "cua", "cho", "theo", "duoc", "khi", "nhu", "the", "trong", "va", "hoac", "mot", "doi", "voi", "nguoi",
+]
 UNIT_ALIASES = {
     "g/24 giờ": "g/24h", "g/24h": "g/24h", "g/l": "g/L", "g/L": "g/L", "g/dl": "g/dL", "g/dL": "g/dL", "mmol/l": "mmol/L", "mmol/L": "mmol/L", "mg/g": "mg/g",
     "mg/mmol": "mg/mmol", "mg/dl": "mg/dL", "mg/dL": "mg/dL", "μmol/l": "μmol/L", "µmol/l": "μmol/L", "umol/l": "μmol/L", "μmol/L": "μmol/L", "mmhg": "mmHg", "mmHg": "mmHg",

@@ -164,7 +164,22 @@ def str04_incremental_upsert(spark, folder):
     source, target, state = (files.scratch(spark, x) for x in ("events", "users", "state"))
     static.write.parquet(source)
     memory.incremental_upsert(spark.readStream.schema(static.schema).parquet(source), target, "user_id", "event_id", state).awaitTermination()
-    return memory.current_table(spark, target).select("user_id", "event_type", "event_id")
+    return memory.current_table(spark, target, "user_id", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT user_id AS conv_id, MAX(event_id) AS turn, RIGHT(STRING_AGG('Q: ' || event_type || ' A: ' || CAST(event_id AS VARCHAR), ' | ' ORDER BY event_id), 600) AS summary FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def str02_rolling_memory(spark, folder):
+    """The rolling notes of each conversation after its last turn, kept as the stream's state."""
+    turns = table(spark, folder, "events").where("user_id is not null").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("question"), F.col("event_id").cast("string").alias("answer"))
+    source, sink, state = (files.scratch(spark, x) for x in ("turns", "notes", "state"))
+    turns.write.parquet(source)
+    notes = memory.rolling_memory(spark.readStream.schema(turns.schema).parquet(source))
+
+    def keep(batch, number):
+        batch.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("summary", "turn").alias("summary")).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    notes.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("summary", "turn").alias("summary"))
 
 
 # Planning ---------------------------------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+def _own_folder() -> str:
+    """A temporary folder for a single machine, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder the session names in ``spark.checkpoint.dir`` and cut its lineage.
 
@@ -36,7 +45,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        context.setCheckpointDir(named or _own_folder())
     return df.checkpoint(eager=True)
 
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.sources.files import upsert
-
 MEMORY_CHARACTERS = 600
 
 
@@ -47,27 +44,32 @@ def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hou
 
 
 def incremental_upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """A started query that merges each micro-batch into the Parquet table at ``path``.
+    """A started query that adds each micro-batch to the Parquet log at ``path``: of each key its last change by ``order``.
 
-    Each batch writes a new version beside the old one and then moves the pointer file, so that a batch that is run
-    again after a failure gives the same table.
+    A batch writes what it has and nothing else, into a folder of its own, so that its cost doesn't grow with the table and a
+    batch that is run again after a failure replaces itself. :func:`current_table` merges when it reads, :func:`compact` once
+    in a while. Rows with a null key are kept as they are.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        pointer = f"{path}/_current"
-        try:
-            current = spark.read.text(pointer).first()[0]
-        except AnalysisException:  # no version yet
-            current = None
-        target = batch.limit(0) if current is None else spark.read.parquet(f"{path}/{current}")
-        version = f"v{number}" if current != f"v{number}" else f"v{number}-again"
-        upsert(target, batch, key, order).write.mode("overwrite").parquet(f"{path}/{version}")
-        spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+    def add(batch: DataFrame, number: int) -> None:
+        last_changes(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def last_changes(changes: DataFrame, key: str, order: str) -> DataFrame:
+    """Of each key the last row by ``order``, combined on the map side; all rows without a key."""
+    row = F.struct(*(F.col(f"`{c}`") for c in changes.columns))
+    last = changes.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.col(order)).alias("_row")).select("_row.*")
+    return last.unionByName(changes.where(F.col(key).isNull()))
 
 
-def current_table(spark, path: str) -> DataFrame:
+def current_table(spark, path: str, key: str, order: str) -> DataFrame:
     """The table that :func:`incremental_upsert` has merged so far."""
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
+    return last_changes(spark.read.parquet(path).drop("batch"), key, order)
+
+
+def compact(spark, path: str, target: str, key: str, order: str) -> DataFrame:
+    """The merged table written as the first batch of a new log at ``target``; gives it back."""
+    current_table(spark, path, key, order).write.mode("overwrite").parquet(f"{target}/batch=0")
+    return spark.read.parquet(target).drop("batch")

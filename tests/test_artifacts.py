@@ -72,3 +72,28 @@ def test_rolling_memory(spark, tmp_path):
     query.awaitTermination()
     got = {(r.conv_id, r.turn): r.summary for r in spark.table("notes").collect()}
     assert got[(1, 2)] == "Q: q1 A: a1 | Q: q2 A:" and got[(2, 1)] == "Q: x A: y" and len(got[(1, 3)]) == memory.MEMORY_CHARACTERS
+
+
+def test_incremental_upsert_and_compaction(spark, tmp_path):
+    schema = "k int, v string, t int"
+    for i, part in enumerate([[(1, "a", 1), (2, "b", 1)], [(1, "c", 3), (1, "old", 2), (None, "n", 1)], [(3, "d", 1)]]):
+        spark.createDataFrame(part, schema).write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        memory.incremental_upsert(stream, str(tmp_path / "log"), "k", "t", str(tmp_path / "state")).awaitTermination()
+    want = [(1, "c", 3), (2, "b", 1), (3, "d", 1), (None, "n", 1)]
+    assert rows(memory.current_table(spark, str(tmp_path / "log"), "k", "t")) == want
+    assert rows(memory.compact(spark, str(tmp_path / "log"), str(tmp_path / "new"), "k", "t")) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{ {"a": 1} and {"b": 2}', ['{"a": 1}', '{"b": 2}']), ('{"x": "cut\n{"c": 3}', ['{"c": 3}']), ('} {"a": {"b": 1}} }', ['{"a": {"b": 1}}']), ('"{"\n{"a": 1}', ['{"a": 1}']),
+])
+def test_objects_after_unclosed_ones(text, want):
+    assert salvage.objects(text) == want
+    assert len(salvage.objects("{" * 200_000)) == 0  # one pass
+
+
+def test_marked_blocks():
+    text = 'Data metadata: {"document_id": "a",}\nData  metadata:\nnothing here data metadata: {"b": }'
+    found = salvage.marked_blocks(text)
+    assert [f[0] for f in found] == ['{"document_id": "a"}', None, None] and found[2][1] == '{"b": }'
