@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ascii_key_trimmed, fold_pairs
 from tessera.functions.vocab import RETRIEVAL_STOPWORDS
-from tessera.session import broadcast_if_small
+from tessera.session import broadcast_if_small, checkpointed
 
 K1, B, FLOOR = 1.5, 0.75, 0.01
 RRF_K = 60
 WEIGHTS = {"vector": 0.85, "keyword": 1.0, "lexical": 1.15}
 QUERY_TOKENS = 32
+#: Query terms up to which they are sent to every task of a search.
+BROADCAST_TERMS = 200_000
 BLOCK = 1024
 
 
@@ -81,9 +83,10 @@ def corpus_statistics(index: DataFrame) -> DataFrame:
 
 
 def term_weights(index: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf): Okapi weights; negative ones become ``epsilon`` times the mean weight of all terms."""
+    """(term, df, idf): Okapi weights; negative ones become ``epsilon`` times the mean weight of all terms. The counts of the
+    terms are written once, being read twice."""
     total = corpus_statistics(index)
-    counted = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total.select("documents")))
+    counted = checkpointed(index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))).crossJoin(F.broadcast(total.select("documents")))
     raw = counted.select("term", "df", F.log((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -92,12 +95,15 @@ def term_weights(index: DataFrame, epsilon: float = 0.25) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, id, score): Okapi BM25 of (query_id, query) over an inverted index, all passages with a term of the query.
 
-    A term counts as often as the query has it among its first 32 terms. Queries without terms have no rows.
+    A term counts as often as the query has it among its first 32 terms. Queries without terms have no rows. The terms of the
+    queries go to the index, which stays where it is, up to a checked number; beyond it both are sorted by term. The index is
+    never the side that is sent, whatever its size is taken for.
     """
     wanted = queries.select("query_id", F.explode(F.slice(terms(F.col("query")), 1, QUERY_TOKENS)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     average = corpus_statistics(index).select("average_length")
-    weighted = wanted.join(term_weights(index), "term")
-    hits = index.join(weighted, "term").crossJoin(F.broadcast(average))
+    weighted = checkpointed(wanted.join(term_weights(index), "term"))
+    few = weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hits = index.join(F.broadcast(weighted) if few else weighted.hint("merge"), "term").crossJoin(F.broadcast(average))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("average_length")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -117,7 +123,7 @@ def conjunctive(queries: DataFrame, index: DataFrame, top: int = 30) -> DataFram
     """(query_id, id, score, rank): passages with all terms of the query; the score is the sum of their frequencies."""
     wanted = queries.select("query_id", F.array_distinct(F.slice(terms(F.col("query")), 1, QUERY_TOKENS)).alias("terms")).where(F.size("terms") > 0)
     parts = wanted.select("query_id", F.size("terms").alias("needed"), F.explode("terms").alias("term"))
-    hits = parts.join(index, "term").groupBy("query_id", "needed", "id").agg(F.count(F.lit(1)).alias("met"), F.sum("tf").alias("score"))
+    hits = index.join(broadcast_if_small(parts, BROADCAST_TERMS), "term").groupBy("query_id", "needed", "id").agg(F.count(F.lit(1)).alias("met"), F.sum("tf").alias("score"))
     return best(hits.where("met = needed").select("query_id", "id", "score"), "query_id", [F.col("score").desc(), F.col("id")], top)
 
 
