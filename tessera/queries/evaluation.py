@@ -8,6 +8,7 @@ from tessera.functions import formula
 from tessera.functions import text as T
 from tessera.functions.vocab import CLASS_RULES, UNIT_ALIASES
 from tessera.operators import rules as RU
+from tessera.operators.blocks import shared_words
 from tessera.operators.retrieval import best, content_tokens
 from tessera.queries.search import sql_key, sql_tokens
 from tessera.session import broadcast_if_small, table
@@ -165,13 +166,16 @@ def udf07_contract_checks(spark, folder):
     scored AS (SELECT id, document_id, MAX(ROUND(n::DOUBLE / total, 6)) AS score FROM shared GROUP BY ALL)
     SELECT id, document_id, score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY score DESC, document_id) AS rank FROM scored WHERE score >= 0.12) WHERE rank <= 3""")
 def joi15_evidence_match(spark, folder):
-    """Facts of the cases against formula passages by shared tokens: an equi-join on tokens instead of all pairs."""
+    """Facts of the cases against formula passages by shared tokens. Facts with the same tokens are looked for once; the best three
+    passages of a case are among the best three of its facts."""
     qa = table(spark, folder, "threshold_qa").select("id", "required_facts").distinct().select("id", F.explode("required_facts").alias("f")).where("f is not null")
     facts = qa.select("id", "f", content_tokens(F.col("f"), 1000).alias("ts")).distinct()
     docs = table(spark, folder, "medical_documents").where("source_type = 'formula'")
-    words = docs.select("document_id", F.explode(content_tokens(F.col("content"), 100000)).alias("w")).distinct()
-    shared = facts.select("id", "f", F.size("ts").alias("total"), F.explode("ts").alias("w")).join(words, "w").groupBy("id", "f", "total", "document_id").agg(F.count(F.lit(1)).alias("n"))
-    scored = shared.groupBy("id", "document_id").agg(F.max(F.round(F.col("n") / F.col("total"), 6)).alias("score")).where("score >= 0.12")
+    facts = facts.select("id", F.array_join("ts", " ").alias("query_id"), F.size("ts").alias("total")).distinct()
+    passages = docs.select(F.col("document_id").alias("id"), content_tokens(F.col("content"), 100000).alias("words"))
+    shared = shared_words(facts.select("query_id", F.split("query_id", " ").alias("words")).distinct(), passages, 3)
+    shared = facts.join(shared.select("query_id", F.col("id").alias("document_id"), "score"), "query_id")
+    scored = shared.groupBy("id", "document_id").agg(F.max(F.round(F.col("score") / F.col("total"), 6)).alias("score")).where("score >= 0.12")
     return best(scored, "id", [F.desc("score"), F.col("document_id")], 3)
 
 
