@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import passages as P
 from tessera.functions import text as T
+from tessera.operators import blocks as K
 from tessera.operators import ordered as O
 from tessera.operators import retrieval as R
-from tessera.queries.search import _ASKED, _INDEX, _bm25, _index, _passages, _queries, sql_fold, sql_key, sql_token_set, sql_tokens
+from tessera.queries.search import _ASKED, _INDEX, _bm25, _passages, _queries, sql_fold, sql_key, sql_token_set, sql_tokens
 from tessera.queries.strings import _QA, _qa, _sql_hint
 from tessera.queries.tables import _CHUNKS, _DOCS, _chunks, _docs
 from tessera.session import broadcast_if_small, table
@@ -214,8 +215,8 @@ def win11_labels_over_union(spark, folder):
 def top05_heuristic_rerank(spark, folder):
     """The best hits of each query ranked again by score plus shared tokens."""
     queries, passages = _queries(spark, folder), _passages(spark, folder)
-    hits = R.bm25(queries, _index(spark, folder), 10).drop("rank")
-    both = hits.join(queries, "query_id").join(passages, "id")
+    hits = K.bm25_search(queries, passages, 10).drop("rank")
+    both = K.with_passages(hits, passages).join(broadcast_if_small(queries, K.SLICE), "query_id")
     shared = F.size(F.array_intersect(R.content_tokens(F.col("query")), R.content_tokens(F.col("text"), 100000)))
     again = both.select("query_id", "id", F.round(F.greatest("score", F.lit(0.0)) + shared * 0.05, 6).alias("score"))
     return R.best(again, "query_id", [F.desc("score"), F.col("id")], 10)
